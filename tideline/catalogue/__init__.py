@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tideline.catalogue.base import ORACLES, QUERIES, Query
 
-MODULES = ["store", "shop"]
+MODULES = ["store", "shop", "relational"]
 
 
 def _load() -> None:

@@ -40,12 +40,12 @@ FINE = """, fine AS (SELECT p_partkey AS TrackId, CAST(regexp_extract(p_brand, '
 
 @query("playlist_diversity", S + FINE + """SELECT p.Name AS "PlaylistName", COUNT(DISTINCT t.GenreId) AS "GenreCount", COUNT(pt.TrackId) AS "TrackCount"
 FROM playlists p JOIN playlist_tracks pt ON p.PlaylistId = pt.PlaylistId JOIN fine t ON pt.TrackId = t.TrackId
-GROUP BY p.PlaylistId, p.Name HAVING COUNT(DISTINCT t.GenreId) >= 465""")
+GROUP BY p.PlaylistId, p.Name HAVING COUNT(DISTINCT t.GenreId) >= 425""")
 def playlist_diversity(spark, sf):
     t = store(spark, sf)
     tracks = t["tracks"].withColumn("GenreId", F.col("GenreId") * 100 + F.col("AlbumId"))
     genres = tracks.select("GenreId").distinct()
-    return pack.playlist_diversity(t["playlists"], t["playlist_tracks"], tracks, genres, 465)
+    return pack.playlist_diversity(t["playlists"], t["playlist_tracks"], tracks, genres, 425)
 
 
 @query("employee_performance", S + """SELECT e.EmployeeId, concat(e.FirstName, ' ', e.LastName) AS "RepName", e.City, e.Country,
@@ -60,7 +60,7 @@ def employee_performance(spark, sf):
 TREND = S + """, kept AS (SELECT * FROM invoices WHERE month(InvoiceDate) NOT IN (3, 7)),
 m AS (SELECT strftime(InvoiceDate, '%Y-%m') AS bm, year(InvoiceDate) * 12 + month(InvoiceDate) AS mi, SUM(Total) AS rev FROM kept GROUP BY ALL)
 SELECT curr.bm AS "BillingMonth", CAST(ROUND(curr.rev, 2) AS DOUBLE) AS "Revenue",
-CAST(ROUND(curr.rev - prev.rev, 2) AS DOUBLE) AS "DeltaPrevMonth", ROUND(AVG(sub.rev), 2) AS "RollingAvg3m"
+CAST(ROUND(curr.rev - prev.rev, 2) AS DOUBLE) AS "DeltaPrevMonth", ((2 * CAST(SUM(sub.rev) * 100 AS HUGEINT) + COUNT(*)) // (2 * COUNT(*))) / 100.0 AS "RollingAvg3m"
 FROM m curr LEFT JOIN m prev ON prev.mi = curr.mi - 1 JOIN m sub ON sub.mi BETWEEN curr.mi - 2 AND curr.mi
 GROUP BY curr.bm, curr.mi, curr.rev, prev.rev ORDER BY curr.mi DESC LIMIT 12"""
 

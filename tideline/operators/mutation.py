@@ -23,7 +23,10 @@ def delete_where(df: DataFrame, cond: Column) -> DataFrame:
 
 
 def insert_rows(df: DataFrame, new: DataFrame, id_col: str | None = None, order: list[str] = ()) -> DataFrame:
-    """Append rows; with ``id_col`` they get ids that continue after the largest one, along ``order``."""
+    """Append rows; with ``id_col`` they get ids that continue after the largest one, along ``order``.
+
+    The numbering is distributed: a big insert is not pulled through one task.
+    """
     if id_col is None:
         return df.unionByName(new)
     largest = df.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("largest"))

@@ -112,13 +112,10 @@ def calendar_prev_delta(df: DataFrame, month: str, value: str, by: list[str] = (
 def rank_over_agg(df: DataFrame, keys: list[str], agg: Column, name: str, k: int) -> DataFrame:
     """First ``k`` groups by the aggregate, with RANK() over all groups.
 
-    Groups below the k-th value cannot change the rank of those above, so only the groups at or above
-    it reach the ordered window.
+    The filter on the rank lets Spark cut every task to its first k groups before the ordered window.
     """
     totals = df.groupBy(*keys).agg(agg.alias(name))
-    kth = totals.orderBy(F.desc(name)).limit(k).agg(F.min(name).alias("kth"))
-    top = totals.filter(F.col(name) >= kth.scalar())
-    ranked = top.withColumn("rank", F.rank().over(W.orderBy(F.desc(name))))
+    ranked = totals.withColumn("rank", F.rank().over(W.orderBy(F.desc(name)))).filter(F.col("rank") <= k)
     return ranked.orderBy("rank", *keys).limit(k)
 
 

@@ -155,20 +155,18 @@ def customer_cross_sell(
 def playlist_revenue_rank(playlists: DataFrame, pt: DataFrame, tracks: DataFrame, lines: DataFrame, k: int = 15) -> DataFrame:
     """RANK() over unrounded revenue, first k by rounded revenue.
 
-    Playlists below the k-th revenue cannot change the ranks above them, so the ordered window sees
-    about k rows.
+    Playlists below the k-th rounded revenue cannot change the ranks above them. Spark keeps the first k
+    (with ties) of every task before one task sees them, and the rank runs over what is left.
     """
     per_track = lines.groupBy("TrackId").agg(F.sum(amount()).alias("rev"))
     earning = per_track.join(tracks.select("TrackId"), "TrackId", "left_semi")
     totals = pt.join(earning, "TrackId").groupBy("PlaylistId").agg(F.sum("rev").alias("rev"))
-    named = totals.join(playlists.select("PlaylistId", F.col("Name").alias("PlaylistName")), "PlaylistId")
-    named = named.withColumn("PlaylistRevenue", F.round("rev", 2))
-    kth = named.orderBy(F.desc("PlaylistRevenue")).limit(k).agg(F.min("PlaylistRevenue").alias("v")).scalar()
-    ranked = named.filter(F.col("PlaylistRevenue") >= kth).withColumn(
-        "RevenueRank", F.rank().over(W.orderBy(F.desc("rev")))
-    )
+    rounded = totals.withColumn("PlaylistRevenue", F.round("rev", 2))
+    head = rounded.withColumn("_place", F.rank().over(W.orderBy(F.desc("PlaylistRevenue")))).filter(F.col("_place") <= k)
+    ranked = head.withColumn("RevenueRank", F.rank().over(W.orderBy(F.desc("rev"))))
+    named = ranked.join(playlists.select("PlaylistId", F.col("Name").alias("PlaylistName")), "PlaylistId")
     return (
-        ranked.orderBy(F.desc("PlaylistRevenue"), "PlaylistId").limit(k)
+        named.orderBy(F.desc("PlaylistRevenue"), "PlaylistId").limit(k)
         .select("PlaylistId", "PlaylistName", F.col("PlaylistRevenue").cast("double").alias("PlaylistRevenue"), "RevenueRank")
     )
 
