@@ -113,7 +113,7 @@ _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
 LOG_SQL = f"""log AS (
   SELECT CAST(event_id AS VARCHAR) AS id, {case_sql(f'{_K} % 16', [t[0] for t in TEMPLATES])} AS sql, props AS parameters,
          CAST(floor(value * 100) AS BIGINT) AS execution_time, event_id % 3 = 0 AS in_transaction,
-         event_type = 'error' AS has_error, epoch_ms(ts) AS timestamp, 'client-' || user_id AS client_uuid,
+         event_type = 'error' AS has_error, epoch_us(ts) // 1000 AS timestamp, 'client-' || user_id AS client_uuid,
          {case_sql('user_id % 10', [c[0] for c in CONNECTIONS])} AS conn_hash,
          CASE WHEN event_type = 'purchase' THEN 'executeUpdate' ELSE 'executeQuery' END AS method_name,
          {case_sql(f'{_K} % 16', [t[1] for t in TEMPLATES])} AS query_type,

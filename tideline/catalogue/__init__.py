@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tideline.catalogue.base import ORACLES, QUERIES, Query
 
-MODULES = ["store", "shop", "relational"]
+MODULES = ["store", "shop", "relational", "log"]
 
 
 def _load() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tideline.functions.sql_text import _col
+from tideline.functions.sql_text import _col, let
 
 # --- fixed values -------------------------------------------------------------
 DB_MARKS = [
@@ -53,51 +53,60 @@ def parse_connection(url: Column | str, tag: str = "proxy") -> Column:
 
     The password is returned only as ``has_password``: identities stored next to logs must not carry it.
     """
+
+    def located(real: Column) -> Column:
+        kind = F.when(real.contains(":mysql:") | real.startswith("mysql://"), "MySQL").when(
+            real.contains(":oracle:") | real.startswith("oracle://"), "Oracle"
+        )
+        after_at = F.regexp_extract(real, r"@(.*)$", 1)
+        sid_form = after_at.contains(":") & ~after_at.contains("/")
+        thin = F.when(sid_form, F.regexp_replace(after_at, r"^([^:]*:[^:]*):", "$1/")).otherwise(after_at)
+        tail = F.when(kind == "MySQL", _hit(real, r"mysql://(.*)$")).when(
+            kind == "Oracle",
+            F.when(real.startswith("oracle://"), _hit(real, r"^oracle://(.*)$")).when(real.contains("@"), thin),
+        )
+        return F.struct(real.alias("real"), kind.alias("kind"), tail.alias("tail"))
+
+    def split(p: Column) -> Column:
+        tail, kind = p["tail"], p["kind"]
+        authority = F.regexp_extract(tail, r"^([^/?]*)", 1)
+        host_port = F.regexp_replace(authority, r"^.*@", "")
+        default = F.when(kind == "MySQL", DEFAULT_PORTS["MySQL"]).when(kind == "Oracle", DEFAULT_PORTS["Oracle"])
+        port = F.coalesce(F.try_to_number(_hit(host_port, r":([0-9]+)$"), F.lit("99999")).cast("int"), default)
+        path = _hit(tail, r"^[^/?]*/([^?]*)")
+        return F.struct(
+            p["real"].alias("real"),
+            kind.alias("kind"),
+            tail.isNotNull().alias("known"),
+            _hit(authority, r"^(.*)@").alias("user_info"),
+            _hit(host_port, r"^([^:]+)").alias("host"),
+            port.alias("port"),
+            F.when(kind == "Oracle", F.coalesce(path, F.lit(DEFAULT_SERVICE))).otherwise(path).alias("database"),
+            _hit(tail, r"\?(.*)$").alias("query"),
+        )
+
+    def result(p: Column) -> Column:
+        # the query string is read only when the inline part lacks one of the two, and then it wins
+        complete = F.coalesce(p["user_info"].contains(":"), F.lit(False))
+        inline_user = _decode(_hit(p["user_info"], r"^([^:]*)"))
+        query_user = _decode(_hit(p["query"], r"(?i)(?:^|&)(?:user|username)=([^&]*)"))
+        query_password = F.coalesce(p["query"].rlike(r"(?i)(?:^|&)(?:password|pwd)="), F.lit(False))
+        shown = F.concat(
+            p["host"], F.lit(":"), p["port"].cast("string"), F.lit("/"), F.coalesce(p["database"], F.lit("Unknown DB"))
+        )
+        known = p["known"]
+        return F.struct(
+            p["kind"].alias("db_type"),
+            F.when(known, p["host"]).alias("host"),
+            F.when(known, p["port"]).alias("port"),
+            F.when(known, p["database"]).alias("database"),
+            F.when(known, F.when(complete, inline_user).otherwise(F.coalesce(query_user, inline_user))).alias("username"),
+            (known & (complete | query_password)).alias("has_password"),
+            F.when(p["kind"].isNull() & (p["real"] != ""), "Unknown DB").when(known, shown).alias("name"),
+        )
+
     real = strip_proxy_prefix(F.trim(_col(url)), tag)
-    kind = (
-        F.when(real.contains(":mysql:") | real.startswith("mysql://"), "MySQL")
-        .when(real.contains(":oracle:") | real.startswith("oracle://"), "Oracle")
-    )
-    after_at = F.regexp_extract(real, r"@(.*)$", 1)
-    sid_form = after_at.contains(":") & ~after_at.contains("/")
-    oracle_tail = F.when(sid_form, F.regexp_replace(after_at, r"^([^:]*:[^:]*):", "$1/")).otherwise(after_at)
-    tail = F.when(kind == "MySQL", _hit(real, r"mysql://(.*)$")).when(
-        kind == "Oracle",
-        F.when(real.startswith("oracle://"), _hit(real, r"^oracle://(.*)$")).when(real.contains("@"), oracle_tail),
-    )
-    authority = F.regexp_extract(tail, r"^([^/?]*)", 1)
-    user_info = _hit(authority, r"^(.*)@")
-    host_port = F.regexp_replace(authority, r"^.*@", "")
-    query = _hit(tail, r"\?(.*)$")
-    host = _hit(host_port, r"^([^:]+)")
-    port = F.coalesce(
-        F.try_to_number(_hit(host_port, r":([0-9]+)$"), F.lit("99999")).cast("int"),
-        F.when(kind == "MySQL", DEFAULT_PORTS["MySQL"]).when(kind == "Oracle", DEFAULT_PORTS["Oracle"]),
-    )
-    path = _hit(tail, r"^[^/?]*/([^?]*)")
-    database = F.when(kind == "Oracle", F.coalesce(path, F.lit(DEFAULT_SERVICE))).otherwise(path)
-    inline_user = _decode(_hit(user_info, r"^([^:]*)"))
-    inline_password = user_info.contains(":")
-    query_user = _decode(_hit(query, r"(?i)(?:^|&)(?:user|username)=([^&]*)"))
-    query_password = query.rlike(r"(?i)(?:^|&)(?:password|pwd)=")
-    # the query string is read only when the inline part lacks one of the two, and then it wins
-    complete = F.coalesce(inline_password, F.lit(False))
-    user = F.when(complete, inline_user).otherwise(F.coalesce(query_user, inline_user))
-    has_password = F.when(tail.isNull(), F.lit(False)).otherwise(complete | F.coalesce(query_password, F.lit(False)))
-    name = F.when(kind.isNull() & (real != ""), "Unknown DB").when(
-        tail.isNotNull(),
-        F.concat(host, F.lit(":"), port.cast("string"), F.lit("/"), F.coalesce(database, F.lit("Unknown DB"))),
-    )
-    known = tail.isNotNull()
-    return F.struct(
-        kind.alias("db_type"),
-        F.when(known, host).alias("host"),
-        F.when(known, port).alias("port"),
-        F.when(known, database).alias("database"),
-        F.when(known, user).alias("username"),
-        has_password.alias("has_password"),
-        name.alias("name"),
-    )
+    return let(let(let(real, located), split), result)
 
 
 def job_name(conn: Column | str, database: Column | str, table: Column | str, prefix: str = "managed-") -> Column:
@@ -110,7 +119,7 @@ def job_name(conn: Column | str, database: Column | str, table: Column | str, pr
 def conn_identity(url: Column | str, user: Column | str, password: Column | str, mask: bool = True) -> Column:
     """URL with the credentials placed behind the scheme, unless it already has some.
 
-    ``mask=True`` (the default) writes ``***`` for the password.
+    ``mask=True`` (the default) writes ``***`` for every password, also for those in the URL.
     """
     text = F.coalesce(_col(url), F.lit(""))
     usr, pwd = _col(user), _col(password)
@@ -132,9 +141,8 @@ def conn_identity(url: Column | str, user: Column | str, password: Column | str,
         F.url_encode(usr),
         F.when(blank_pwd, "").otherwise(F.concat(F.lit("&password="), shown)),
     )
-    masked_inline = F.regexp_replace(text, r"(://[^/?@:]*):[^/?@]*@", "$1:***@") if mask else text
-    return (
-        F.when((F.trim(text) == "") | blank_user | inline, masked_inline)
-        .when(scheme != "", placed)
-        .otherwise(appended)
-    )
+    full = F.when((F.trim(text) == "") | blank_user | inline, text).when(scheme != "", placed).otherwise(appended)
+    if not mask:
+        return full
+    full = F.regexp_replace(full, r"(://[^/?@:]*):[^/?@]*@", "$1:***@")
+    return F.regexp_replace(full, r"(?i)([?&](?:password|pwd)=)[^&]*", "$1***")

@@ -26,6 +26,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: long chains of expressions stay small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _stripped(sql: Column | str) -> Column:
     """Text without leading and trailing white space of any kind (``trim`` only cuts blanks)."""
     return F.regexp_replace(F.coalesce(_col(sql), F.lit("")), r"^\s+|\s+$", "")
