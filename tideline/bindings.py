@@ -292,7 +292,7 @@ def cache_rules(spark: SparkSession, sf: str) -> DataFrame:
         tables = tables.when(s % 6 == i, F.array(*[F.lit(t) for t in names]).cast("array<string>"))
     text = s.cast("string")
     jobs = F.when(
-        s % 4 == 1, F.create_map(F.lit("orders"), F.concat(F.lit("o-"), text), F.lit("products"), F.concat(F.lit("p-"), text))
+        s % 4 == 0, F.create_map(F.lit("orders"), F.concat(F.lit("o-"), text), F.lit("products"), F.concat(F.lit("p-"), text))
     ).otherwise(F.create_map().cast("map<string,string>"))
     return table(spark, sf, "supplier").select(
         F.concat(F.lit("rule-"), text).alias("id"), s.alias("pos"), (s % 5 != 0).alias("enabled"),
@@ -310,7 +310,7 @@ RULES_SQL = f"""rules AS (
          {case_sql('s_suppkey % 10', [c[0] for c in CONNECTIONS])} AS conn_hash, s_suppkey % 10 AS conn,
          CASE s_suppkey % 6 {' '.join(f'WHEN {i} THEN {_list_sql(t)}' for i, t in enumerate(RULE_TABLES))} END AS tables,
          [CAST((s_suppkey * 37) % 1000 AS VARCHAR), CAST((s_suppkey * 53 + 11) % 1000 AS VARCHAR)] AS slow_query_ids,
-         CASE WHEN s_suppkey % 4 = 1 THEN MAP {{'orders': 'o-' || s_suppkey, 'products': 'p-' || s_suppkey}}
+         CASE WHEN s_suppkey % 4 = 0 THEN MAP {{'orders': 'o-' || s_suppkey, 'products': 'p-' || s_suppkey}}
               ELSE MAP {{}}::MAP(VARCHAR, VARCHAR) END AS job_ids
   FROM supplier)"""
 
