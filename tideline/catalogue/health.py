@@ -62,7 +62,7 @@ def performance_summary(spark, sf):
 
 
 @query("threshold_alerts", O + f""", s AS ({SUMMARY}), c AS (SELECT *, 80.0 + cache_skips % 20 AS cpu FROM s)
-SELECT datasource, 'slow_query' AS alert, 'warning' AS level, slow_rate AS current, 0.1 AS threshold FROM c WHERE slow_rate > 0.1 UNION ALL
+SELECT datasource, 'slow_query' AS alert, 'warning' AS level, CAST(slow_rate AS DOUBLE) AS current, CAST(0.1 AS DOUBLE) AS threshold FROM c WHERE slow_rate > 0.1 UNION ALL
 SELECT datasource, 'cache_hit_rate', 'warning', hit_rate, 0.8 FROM c WHERE hit_rate < 0.8 AND cache_hits + cache_misses > 100 UNION ALL
 SELECT datasource, 'cpu', 'error', cpu, 85.0 FROM c WHERE cpu > 85""")
 def threshold_alerts(spark, sf):
