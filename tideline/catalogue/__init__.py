@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tideline.catalogue.base import ORACLES, QUERIES, Query
 
-MODULES = ["store", "shop", "relational", "log", "health", "rules", "cdc", "series"]
+MODULES = ["store", "shop", "relational", "log", "health", "rules", "cdc", "series", "shape", "sources"]
 
 
 def _load() -> None:
