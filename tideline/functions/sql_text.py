@@ -142,5 +142,5 @@ def trace_id(message: Column | str) -> Column:
 
 def csv_items(names: Column | str) -> Column:
     """Trimmed non-blank elements of a comma list; NULL gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(_col(names), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(_col(names), F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda n: n != "")

@@ -15,6 +15,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -39,6 +40,10 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
+def _hashable(v):
+    return tuple(_hashable(x) for x in v) if isinstance(v, (list, tuple)) else v
+
+
 def _settings(df: DataFrame) -> tuple[int, int]:
     conf = df.sparkSession.conf
     return int(conf.get(MIN_ROWS_KEY, str(MIN_ROWS_DEFAULT))), int(conf.get(SLOTS_KEY, str(SLOTS_DEFAULT)))
@@ -67,7 +72,7 @@ def hot_slots(df: DataFrame, keys: list[str], order: list[str]) -> Slotted:
         return Slotted(df.withColumn(SLOT, F.lit(0)), False)
 
     limit = max(min_rows, total / slots)
-    cuts_of = {tuple(r[k] for k in keys): math.ceil(r["_n"] / limit) for r in big}
+    cuts_of = {tuple(_hashable(r[k]) for k in keys): math.ceil(r["_n"] / limit) for r in big}
     hot_rows = sum(r["_n"] for r in big)
     want = SAMPLE_PER_CUT * sum(cuts_of.values())
     key_schema = T.StructType([df.schema[k] for k in keys])
@@ -84,7 +89,7 @@ def hot_slots(df: DataFrame, keys: list[str], order: list[str]) -> Slotted:
     seen: dict[tuple, list] = {k: [] for k in cuts_of}
     sampled = flagged(narrow).sample(fraction=fraction, seed=7).limit(4 * want + 1000)
     for r in sampled.collect():
-        seen[tuple(r[k] for k in keys)].append(tuple(r["_at"]))
+        seen[tuple(_hashable(r[k]) for k in keys)].append(tuple(r["_at"]))
 
     def rank(t: tuple) -> tuple:
         return tuple((v is not None, v) for v in t)
@@ -112,13 +117,14 @@ def running(
     specs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     descending: bool = False,
+    slotted: Slotted | None = None,
 ) -> DataFrame:
     """Running sum / count / max / min per key along ``order``, with hot keys cut into slots.
 
     ``inclusive=False`` leaves the row itself out. ``order`` must be unique inside a key, or ties must
     not matter to the caller.
     """
-    s = hot_slots(df, keys, order)
+    s = slotted or hot_slots(df, keys, order)
     how = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     s_df = s.df
     for name, (kind, expr) in specs.items():
@@ -171,9 +177,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """``lag`` of several columns: the running maximum of (order, values) over the rows before."""
+    """Values of the row before. With hot keys: the running maximum of (order, values) over the rows before."""
+    s = hot_slots(df, keys, order)
+    if not s.hot:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
     packed = F.struct(*order, *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    out = running(df, keys, order, {"_prev": ("max", packed)}, inclusive=False)
+    out = running(df, keys, order, {"_prev": ("max", packed)}, inclusive=False, slotted=s)
     return out.select(*df.columns, *[F.col(f"_prev.{prefix}{c}").alias(f"{prefix}{c}") for c in cols])
 
 
@@ -234,14 +244,16 @@ Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame | None]]
 
 def _runs(pdf: pd.DataFrame, cols: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows that agree on ``cols``."""
-    marks = pdf[cols].astype(object).where(pdf[cols].notna(), None)
-    changed = (marks != marks.shift()) & ~(marks.isna() & marks.shift().isna())
-    starts = [i for i, c in enumerate(changed.any(axis=1)) if c or i == 0]
+    changed = np.zeros(len(pdf), dtype=bool)
+    for c in cols:
+        codes, _ = pd.factorize(pdf[c])  # missing values share the code -1
+        changed[1:] |= codes[1:] != codes[:-1]
+    starts = [0, *np.flatnonzero(changed).tolist()] if len(pdf) else []
     for a, b in zip(starts, [*starts[1:], len(pdf)]):
         yield pdf.iloc[a:b]
 
 
-def _scan(step: Step, keys: list[str], order_free: list[str], emit_rows: bool):
+def _scan(step: Step, keys: list[str], emit_rows: bool):
     """Stream sorted batches, carrying one state; a group is never held as a whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +306,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Step, o
 
     if not s.hot:
         with_start = s.df.withColumn("_start", F.lit(None).cast("string"))
-        return arranged(with_start).mapInPandas(_scan(step, keys, order, True), out_schema)
+        return arranged(with_start).mapInPandas(_scan(step, keys, True), out_schema)
 
     def with_starts(d: DataFrame, starts: dict, how: str) -> DataFrame:
         table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in starts.items()], starts_schema))
@@ -302,7 +314,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Step, o
         return d.join(table, cond, how).select(*[d[c] for c in d.columns], table["_start"])
 
     def finals(d: DataFrame) -> dict:
-        rows = arranged(d).mapInPandas(_scan(step, keys, order, False), finals_schema).collect()
+        rows = arranged(d).mapInPandas(_scan(step, keys, False), finals_schema).collect()
         return {tuple(r[:-1]): r["_state"] for r in rows}
 
     hot = s.df.filter(F.col(SLOT) > 0)
@@ -319,4 +331,4 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Step, o
             break
         known.update(finals(with_starts(hot, changed, "inner")))
         assumed.update(changed)
-    return arranged(with_starts(s.df, assumed, "left")).mapInPandas(_scan(step, keys, order, True), out_schema)
+    return arranged(with_starts(s.df, assumed, "left")).mapInPandas(_scan(step, keys, True), out_schema)

@@ -146,7 +146,7 @@ def slowest_per_statement(log: DataFrame, min_ms: int = 1000, methods: tuple[str
 def table_heat(log: DataFrame, k: int = 5) -> DataFrame:
     """Statements per table name. Names count once per mention; blank elements of a list count as ''."""
     names = log.filter(F.coalesce(F.col("table_names"), F.lit("")) != "").select(
-        F.explode(F.transform(F.split("table_names", ","), F.trim)).alias("table")
+        F.explode(F.transform(F.split("table_names", ","), lambda x: F.trim(x))).alias("table")
     )
     return names.groupBy("table").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "table").limit(k)
 
