@@ -74,11 +74,8 @@ def case_sql(selector: str, values: list) -> str:
 
 
 def pick(selector: Column, values: list) -> Column:
-    """The same on the Spark side."""
-    out = F.when(selector == 0, F.lit(values[0]))
-    for i, v in enumerate(values[1:], start=1):
-        out = out.when(selector == i, F.lit(v))
-    return out
+    """The same on the Spark side: one look-up in a constant list."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), selector.cast("int") + 1)
 
 
 def k_of(props: str = "props") -> Column:
@@ -326,10 +323,10 @@ DATABASE_OF_CONN = case_sql("conn", [c[8] for c in CONNECTIONS])
 def sync_state(spark: SparkSession, sf: str) -> DataFrame:
     """One state per connection and table that the log names."""
     from tideline.functions.connection import database_name, job_name
-    from tideline.functions.sql_text import csv_items
+    from tideline.functions.sql_text import csv_items, explode_each
 
     log = statement_log(spark, sf).filter(database_name("conn_hash").isNotNull())
-    per = log.select("conn_hash", F.explode(csv_items("table_names")).alias("t")).groupBy(
+    per = explode_each(log, csv_items("table_names"), "t", "conn_hash").groupBy(
         "conn_hash", F.lower("t").alias("table_name")
     ).agg(F.count(F.lit(1)).alias("n"))
     update = F.when(F.col("n") % 25 == 0, F.lit(0)).otherwise(F.lit(NOW) - (F.col("n") % 60) * 10_000)

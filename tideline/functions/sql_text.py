@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # --- fixed values -------------------------------------------------------------
 STATEMENT_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "TRUNCATE"]
@@ -85,18 +85,23 @@ def referenced_tables(sql: Column | str) -> Column:
 
     Duplicates go before the schema prefix is cut, so ``a.t`` and ``b.t`` give ``[t, t]``.
     """
-    text = F.coalesce(_col(sql), F.lit(""))
-    kind = query_type(text)
-    from_list = F.split(F.regexp_extract(text, rf"(?i)\bFROM\s+({_NAME}(?:\s*,\s*{_NAME})*)", 1), r"\s*,\s*")
-    joins = F.regexp_extract_all(text, F.lit(rf"(?i)\bJOIN\s+({_NAME})"), 1)
-    names = (
-        F.when(kind == "SELECT", F.concat(from_list, joins))
-        .when(kind == "INSERT", _first(text, rf"(?i)\bINSERT\s+INTO\s+({_NAME})"))
-        .when(kind == "UPDATE", _first(text, rf"(?i)\bUPDATE\s+({_NAME})"))
-        .when(kind == "DELETE", _first(text, rf"(?i)\bDELETE\s+FROM\s+({_NAME})"))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    clean = F.transform(names, lambda n: F.regexp_replace(n, r'[`"\[\]]', ""))
+    none = F.array().cast("array<string>")
+
+    def named(p: Column) -> Column:
+        text, kind = p["text"], p["kind"]
+        from_list = F.split(F.regexp_extract(text, rf"(?i)\bFROM\s+({_NAME}(?:\s*,\s*{_NAME})*)", 1), r"\s*,\s*")
+        joins = F.regexp_extract_all(text, F.lit(rf"(?i)\bJOIN\s+({_NAME})"), 1)
+        return (
+            F.when(kind == "SELECT", F.concat(from_list, joins))
+            .when(kind == "INSERT", _first(text, rf"(?i)\bINSERT\s+INTO\s+({_NAME})"))
+            .when(kind == "UPDATE", _first(text, rf"(?i)\bUPDATE\s+({_NAME})"))
+            .when(kind == "DELETE", _first(text, rf"(?i)\bDELETE\s+FROM\s+({_NAME})"))
+            .otherwise(none)
+        )
+
+    # text and type are bound once; the branches then look at them
+    parts = let(let(F.coalesce(_col(sql), F.lit("")), lambda t: F.struct(t.alias("text"), query_type(t).alias("kind"))), named)
+    clean = F.transform(parts, lambda n: F.regexp_replace(n, r'[`"\[\]]', ""))
     clean = F.array_distinct(F.filter(clean, lambda n: n != ""))
     return F.transform(clean, lambda n: F.substring_index(n, ".", -1))
 
@@ -106,9 +111,11 @@ def referenced_tables_ci(names: Column | str) -> Column:
     last = F.transform(
         _col(names), lambda n: F.trim(F.substring_index(F.regexp_replace(n, r"""[`"'\[\]]""", ""), ".", -1))
     )
-    last = F.filter(last, lambda n: F.length(n) > 0)
-    lowered = F.transform(last, F.lower)
-    return F.filter(last, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+    kept = F.filter(last, lambda n: F.length(n) > 0)
+    both = let(kept, lambda ns: F.struct(ns.alias("names"), F.transform(ns, lambda n: F.lower(n)).alias("lowered")))
+    return let(
+        both, lambda p: F.filter(p["names"], lambda n, i: F.array_position(p["lowered"], F.lower(n)) == i + 1)
+    )
 
 
 def modified_tables(sql: Column | str) -> Column:
@@ -140,6 +147,18 @@ def trace_id(message: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(_col(message), p, 1), F.lit("")) for p in TRACE_PATTERNS])
 
 
+def explode_each(df: DataFrame, items: Column, name: str, *keep: str | Column, position: str | None = None) -> DataFrame:
+    """One row per element; rows without elements go.
+
+    A plain ``explode`` makes the optimizer add a size filter that computes ``items`` a second time.
+    """
+    if position:
+        out = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    else:
+        out = df.select(*keep, F.explode_outer(items).alias(name))
+    return out.filter(F.col(name).isNotNull())
+
+
 def csv_items(names: Column | str) -> Column:
     """Trimmed non-blank elements of a comma list; NULL gives an empty array."""
     parts = F.transform(F.split(F.coalesce(_col(names), F.lit("")), ","), lambda x: F.trim(x))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.connection import job_name, parse_connection
-from tideline.functions.sql_text import csv_items
+from tideline.functions.sql_text import csv_items, explode_each
 from tideline.operators.ordered import numbered
 
 MANAGED_PREFIX = "managed-"
@@ -20,8 +20,8 @@ def _norm(c: Column) -> Column:
 
 
 def _statement_tables(statements: DataFrame) -> DataFrame:
-    return statements.select(
-        F.col("id").alias("statement_id"), "conn_hash", F.explode(F.array_distinct(csv_items("table_names"))).alias("table")
+    return explode_each(
+        statements, F.array_distinct(csv_items("table_names")), "table", F.col("id").alias("statement_id"), "conn_hash"
     )
 
 
@@ -74,9 +74,11 @@ def resolve_tables(rules: DataFrame, statements: DataFrame) -> DataFrame:
         "rule_id", F.trim("raw").alias("table"), F.struct(F.lit(0).alias("src"), (-F.col("pos")).alias("a"), F.lit(0).alias("b")).alias("at")
     )
     ids = rules.select(F.col("id").alias("rule_id"), "conn_hash", F.posexplode("slow_query_ids").alias("qpos", "statement_id"))
-    named = statements.select(
-        F.col("id").alias("statement_id"), "conn_hash", F.posexplode(csv_items("table_names")).alias("tpos", "table")
+    # only the statements some rule names are taken apart
+    wanted = statements.select(F.col("id").alias("statement_id"), "conn_hash", "table_names").join(
+        ids.select("statement_id", "conn_hash").distinct(), ["conn_hash", "statement_id"], "left_semi"
     )
+    named = explode_each(wanted, csv_items("table_names"), "table", "statement_id", "conn_hash", position="tpos")
     found = ids.join(named, ["conn_hash", "statement_id"]).select(
         "rule_id", "table", F.struct(F.lit(1).alias("src"), F.col("qpos").alias("a"), F.col("tpos").alias("b")).alias("at")
     )
@@ -161,7 +163,7 @@ def tables_of_queries(statements: DataFrame, rules: DataFrame, conns: list[str]
     rows = statements.filter(F.coalesce(F.trim("conn_hash"), F.lit("")) != "")
     if conns:
         rows = rows.filter(F.col("conn_hash").isin(conns))
-    known = rows.select("conn_hash", F.explode(csv_items("table_names")).alias("table")).distinct()
+    known = explode_each(rows, csv_items("table_names"), "table", "conn_hash").distinct()
     named = (
         rules.select("conn_hash", F.explode("tables").alias("raw"), F.col("id").alias("rule_id"))
         .select("conn_hash", _norm(F.col("raw")).alias("_k"), "rule_id")

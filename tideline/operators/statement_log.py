@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.shape import json_or_text
-from tideline.functions.sql_text import csv_items, slow_query_id
+from tideline.functions.sql_text import csv_items, explode_each, slow_query_id
 from tideline.operators.ordered import numbered
 
 KEYWORD_COLUMNS = ["sql", "normalized_sql", "parameters", "method_name"]
@@ -80,7 +80,7 @@ def slow_query_page(df: DataFrame, page: int, size: int, **filters) -> DataFrame
 def exploded_tables(log: DataFrame, *keep: str, distinct_per_row: bool = True) -> DataFrame:
     """One row per table of a statement's list."""
     items = csv_items("table_names")
-    return log.select(*keep, F.explode(F.array_distinct(items) if distinct_per_row else items).alias("table"))
+    return explode_each(log, F.array_distinct(items) if distinct_per_row else items, "table", *keep)
 
 
 def facet_lists(log: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def facet_lists(log: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<struct<facet:string,value:string>>")),
         F.transform(csv_items("table_names"), lambda t: F.struct(F.lit("table").alias("facet"), t.alias("value"))),
     )
-    rows = log.select(F.inline(facets)).distinct()
+    rows = explode_each(log, facets, "f").select("f.*").distinct()
     total = log.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("total").alias("facet"), "value")
     return rows.unionByName(total)
 
@@ -145,9 +145,8 @@ def slowest_per_statement(log: DataFrame, min_ms: int = 1000, methods: tuple[str
 
 def table_heat(log: DataFrame, k: int = 5) -> DataFrame:
     """Statements per table name. Names count once per mention; blank elements of a list count as ''."""
-    names = log.filter(F.coalesce(F.col("table_names"), F.lit("")) != "").select(
-        F.explode(F.transform(F.split("table_names", ","), lambda x: F.trim(x))).alias("table")
-    )
+    items = F.transform(F.split(F.nullif("table_names", F.lit("")), ","), lambda x: F.trim(x))
+    names = explode_each(log, items, "table")
     return names.groupBy("table").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "table").limit(k)
 
 
