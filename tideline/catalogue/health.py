@@ -139,13 +139,13 @@ fold AS (SELECT key, 0::BIGINT AS rn, 0::BIGINT AS ts, 0::BIGINT AS event_id, fa
 SELECT key, ts, event_id, refused, n AS failures, until AS open_until FROM fold WHERE rn > 0"""
 
 
-@query("failure_breaker", BREAKER)
-def failure_breaker(spark, sf):
-    e = F.col("event_id")
-    calls = table(spark, sf, "events").select(
-        F.concat(F.lit("k"), (F.col("user_id") % 12).cast("string")).alias("key"), (e * 700).alias("ts"), "event_id",
+def breaker_calls(spark, sf):
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("k"), (F.col("user_id") % 12).cast("string")).alias("key"), (F.col("event_id") * 700).alias("ts"), "event_id",
         F.col("event_type").isin("purchase", "signup").alias("ok"),
     )
-    return h.failure_breaker(calls, "key", ["ts", "event_id"], "ok")
 
 
+@query("failure_breaker", BREAKER)
+def failure_breaker(spark, sf):
+    return h.failure_breaker(breaker_calls(spark, sf), "key", ["ts", "event_id"], "ok")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tideline.bindings import RECORDS_SQL, cdc_records, statement_log, table
 from tideline.catalogue.base import query
 from tideline.catalogue.cdc import APPLIED, SHOWN, _fold, order_changes, order_snapshot
-from tideline.catalogue.health import EWMA
+from tideline.catalogue.health import BREAKER, EWMA, breaker_calls
 from tideline.operators.cdc import MONITOR_SCHEMA
 from tideline.session import shared_dir
 from tideline.sources import catalog as ct, changes as ch, datagen as dg, sinks as sk, snapshot as sn
-from tideline.streaming import stateful as stf
+from tideline.streaming import fold as fo, stateful as stf
 
 ROW = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
 
@@ -38,17 +38,18 @@ def table_catalog(spark, sf):
     return listing.select("table_name", "ordinal", "column_name")
 
 
-# key columns of invented tables, one row per supplier; tables without a key give one row without a column
-KEYS_SQL = """keys AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'T' ELSE 't' END || (s_suppkey % 9) AS table_name, 1000 - s_suppkey AS key_seq,
-CASE WHEN s_suppkey % 9 <> 4 THEN 'c' || s_suppkey END AS column_name FROM supplier),
+# three key columns per invented table, one per supplier; tables without a key give rows without a column
+KEYS_SQL = """keys AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'T' ELSE 't' END || (s_suppkey // 3) AS table_name, 3 - s_suppkey % 3 AS key_seq,
+CASE WHEN s_suppkey // 3 % 9 <> 4 THEN 'c' || s_suppkey END AS column_name FROM supplier),
 kc AS (SELECT lower(table_name) AS table_name, COALESCE(string_agg(column_name, ',' ORDER BY key_seq), '') AS key_columns FROM keys GROUP BY 1)"""
 
 
 def _keys(spark, sf):
     s = F.col("s_suppkey")
+    owner = F.floor(s / 3)
     rows = table(spark, sf, "supplier").select(
-        F.concat(F.when(s % 2 == 0, "T").otherwise("t"), (s % 9).cast("string")).alias("table_name"), (F.lit(1000) - s).alias("key_seq"),
-        F.when(s % 9 != 4, F.concat(F.lit("c"), s.cast("string"))).alias("column_name"),
+        F.concat(F.when(s % 2 == 0, "T").otherwise("t"), owner.cast("string")).alias("table_name"), (F.lit(3) - s % 3).alias("key_seq"),
+        F.when(owner % 9 != 4, F.concat(F.lit("c"), s.cast("string"))).alias("column_name"),
     )
     return ct.key_catalog(rows)
 
@@ -274,3 +275,20 @@ def ewma_stream(spark, sf):
     return out.select("client_uuid", F.round("ewma", 4).alias("ewma"), "executions")
 
 
+@query("monitor_fold_stream", _fold("true") + SHOWN)
+def monitor_fold_stream(spark, sf):
+    """The same machine, every micro-batch folded with the batch operator."""
+    root = shared_dir(spark, "monitor-fold")
+    records = cdc_records(spark, sf)
+    stream = _in_time_order(spark, records, root, F.floor(F.col("seq") * 3 / _size(records, "seq")))
+    _run(fo.monitor_fold_stream(stream, "job_id", f"{root}/out", f"{root}/cp"))
+    return spark.read.parquet(f"{root}/out/rows").select("job_id", "ts", "seq", *MONITOR_SCHEMA.names)
+
+
+@query("breaker_stream", BREAKER)
+def breaker_stream(spark, sf):
+    root = shared_dir(spark, "breaker")
+    calls = breaker_calls(spark, sf)
+    stream = _in_time_order(spark, calls, root, F.floor(F.col("event_id") * 3 / _size(calls, "event_id")))
+    _run(fo.breaker_stream(stream, "key", ["ts", "event_id"], "ok", f"{root}/out", f"{root}/cp"))
+    return spark.read.parquet(f"{root}/out/rows").drop("batch_id")

@@ -166,28 +166,33 @@ def monitor_row(s: dict, published: bool) -> tuple:
     return s["state"], s["state"] == IDLE, s["last_event"], s["update"], published
 
 
-def sync_monitor(records: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False) -> DataFrame:
-    """State of each table after each record (events, metric ticks and write marks in one feed)."""
-    wanted = ["kind", "event_type", "source_received", "sink_written"]
-    missing = {"event_type": "string", "source_received": "bigint", "sink_written": "bigint"}
-    for c, t in missing.items():
+def monitor_fold(records: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False):
+    """(rows, step, schema) of the monitor, for the batch and the streaming fold."""
+    wanted = {"kind": "string", "event_type": "string", "source_received": "bigint", "sink_written": "bigint"}
+    for c, t in wanted.items():
         if c not in records.columns:
             records = records.withColumn(c, F.lit(None).cast(t))
-    narrow = records.select(key, *order, *wanted)
+    counts = {"source_received", "sink_written"}
+    narrow = records.select(key, *order, *[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in wanted])
     kept = [key, *order, "kind"]
     out_schema = T.StructType([*[narrow.schema[c] for c in kept], *MONITOR_SCHEMA.fields])
     names = MONITOR_SCHEMA.names
 
     def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         s = state or new_monitor_state()
-        out = []
         cols = ["ts", *wanted]
+        out = []
         for values in zip(*[rows[c].tolist() for c in cols]):
-            rec = {c: (0 if c in ("source_received", "sink_written") and pd.isna(v) else v) for c, v in zip(cols, values)}
-            published = monitor_step(s, rec, compat)
+            published = monitor_step(s, dict(zip(cols, values)), compat)
             out.append(monitor_row(s, published))
         return s, pd.concat([rows[kept].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
+    return narrow, step, out_schema
+
+
+def sync_monitor(records: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False) -> DataFrame:
+    """State of each table after each record (events, metric ticks and write marks in one feed)."""
+    narrow, step, out_schema = monitor_fold(records, key, order, compat)
     return ordered_fold(narrow, [key], list(order), step, out_schema)
 
 

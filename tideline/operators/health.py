@@ -174,6 +174,12 @@ def failure_breaker(
     ``threshold`` failures without a success in between open it for ``open_ms``: calls up to and at the
     end are refused and do not count. After that one more failure opens it again; a success clears it.
     """
+    narrow, step, out_schema = breaker_fold(log, key, order, ok, threshold, open_ms)
+    return ordered_fold(narrow, [key], order, step, out_schema)
+
+
+def breaker_fold(log: DataFrame, key: str, order: list[str], ok: str, threshold: int = 3, open_ms: int = 60_000):
+    """(rows, step, schema) of the breaker, for the batch and the streaming fold."""
     ts, tie = order[0], order[1:]
     narrow = log.select(key, *order, F.col(ok).cast("boolean").alias("_ok"))
     out_schema = T.StructType(
@@ -204,4 +210,4 @@ def failure_breaker(
         out = rows[[key, ts, *tie]].assign(refused=refused, failures=failures, open_until=opened)
         return {"n": count, "until": until}, out
 
-    return ordered_fold(narrow, [key], order, step, out_schema)
+    return narrow, step, out_schema

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from tideline.session import checkpointed
+
 MIN_ROWS_KEY = "tideline.hot.minRows"
 SLOTS_KEY = "tideline.hot.slots"
 MIN_ROWS_DEFAULT = 1_000_000
@@ -188,7 +190,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
 
 
 def top_n_per_group(
-    df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rn", keep: bool = True, salt: str | None = None
+    df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rn", keep: bool = True, salts: int = 256
 ) -> DataFrame:
     """First ``n`` rows of each group.
 
@@ -197,7 +199,7 @@ def top_n_per_group(
     """
     w = W.partitionBy(*by).orderBy(*order)
     if n > 1000:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(df.columns if salt is None else [salt])), F.lit(64)))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         ws = W.partitionBy(*by, "_salt").orderBy(*order)
         df = salted.withColumn("_rn", F.row_number().over(ws)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
@@ -283,41 +285,44 @@ def _scan(step: Step, keys: list[str], emit_rows: bool):
     return run
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Step, out_schema: T.StructType) -> DataFrame:
-    """Fold the rows of each key in order with a small state, for recurrences no window can express.
+def _arranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*keys, SLOT).sortWithinPartitions(*keys, SLOT, *order)
 
-    ``step(state, rows)`` gets consecutive rows of one key and returns the new state (JSON-able) and
-    the output rows. Ordinary keys are folded in one go. A hot key is folded slot by slot in parallel:
-    every slot starts from a guess (no state), then slots whose real start differs are folded again
-    until all starts agree. The result is exact; the guess only decides how often a slot is repeated.
+
+def _started(df: DataFrame, keys: list[str], order: list[str], step: Step, initial: DataFrame | None) -> DataFrame:
+    """Rows with ``_slot`` and ``_start``, the state each (key, slot) starts from.
+
+    The starts of a hot key's slots come from folding the slots in parallel, first from a guess (no
+    state), then again those whose real start differs, until all starts agree.
     """
     spark = df.sparkSession
     s = hot_slots(df, keys, order)
-    key_schema = [df.schema[k] for k in keys]
-    starts_schema = T.StructType(
-        [*key_schema, T.StructField(SLOT, T.IntegerType()), T.StructField("_start", T.StringType())]
-    )
-    finals_schema = T.StructType(
-        [*key_schema, T.StructField(SLOT, T.IntegerType()), T.StructField("_state", T.StringType())]
-    )
+    key_fields = [df.schema[k] for k in keys]
 
-    def arranged(d: DataFrame) -> DataFrame:
-        return d.repartition(*keys, SLOT).sortWithinPartitions(*keys, SLOT, *order)
+    def prior(d: DataFrame, how: str = "left") -> DataFrame:
+        if initial is None:
+            return d.withColumn("_start", F.lit(None).cast("string"))
+        known = initial.select(*keys, F.col("_state").alias("_start"))
+        return d.join(known, _same(d, known, keys), how).select(*[d[c] for c in d.columns], known["_start"])
 
     if not s.hot:
-        with_start = s.df.withColumn("_start", F.lit(None).cast("string"))
-        return arranged(with_start).mapInPandas(_scan(step, keys, True), out_schema)
+        return prior(s.df)
 
     def with_starts(d: DataFrame, starts: dict, how: str) -> DataFrame:
-        table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in starts.items()], starts_schema))
-        cond = _same(d, table, [*keys, SLOT])
-        return d.join(table, cond, how).select(*[d[c] for c in d.columns], table["_start"])
+        schema = T.StructType([*key_fields, T.StructField(SLOT, T.IntegerType()), T.StructField("_start", T.StringType())])
+        table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in starts.items()], schema))
+        return d.join(table, _same(d, table, [*keys, SLOT]), how).select(*[d[c] for c in d.columns], table["_start"])
+
+    finals_schema = T.StructType([*key_fields, T.StructField(SLOT, T.IntegerType()), T.StructField("_state", T.StringType())])
 
     def finals(d: DataFrame) -> dict:
-        rows = arranged(d).mapInPandas(_scan(step, keys, False), finals_schema).collect()
-        return {tuple(r[:-1]): r["_state"] for r in rows}
+        rows = _arranged(d, keys, order).mapInPandas(_scan(step, keys, False), finals_schema).collect()
+        return {tuple(r[:-1]): r["_state"] for r in rows}  # one small state per slot of a hot key
 
-    hot = s.df.filter(F.col(SLOT) > 0)
+    # every round reads the hot rows again, so they are kept where a lost executor does not lose them
+    hot = checkpointed(s.df.filter(F.col(SLOT) > 0))
+    hot_keys = hot.select(*keys).distinct()
+    first = {tuple(r[:-1]): r["_start"] for r in prior(hot_keys).collect()}
     known = finals(hot.withColumn("_start", F.lit(None).cast("string")))
     assumed: dict = {k: None for k in known}
     chain = sorted(known, key=lambda k: (tuple((v is not None, str(v)) for v in k[:-1]), k[-1]))
@@ -325,10 +330,35 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Step, o
         actual = {}
         for before, here in zip([None, *chain], chain):
             follows = before is not None and before[:-1] == here[:-1]
-            actual[here] = known[before] if follows else None
+            actual[here] = known[before] if follows else first.get(here[:-1])
         changed = {k: v for k, v in actual.items() if v != assumed[k]}
         if not changed:
             break
         known.update(finals(with_starts(hot, changed, "inner")))
         assumed.update(changed)
-    return arranged(with_starts(s.df, assumed, "left")).mapInPandas(_scan(step, keys, True), out_schema)
+    return with_starts(hot, assumed, "left").unionByName(prior(s.df.filter(F.col(SLOT) == 0)))
+
+
+def ordered_fold(
+    df: DataFrame, keys: list[str], order: list[str], step: Step, out_schema: T.StructType, initial: DataFrame | None = None
+) -> DataFrame:
+    """Fold the rows of each key in order with a small state, for recurrences no window can express.
+
+    ``step(state, rows)`` gets consecutive rows of one key and returns the new state (JSON-able) and
+    the output rows. ``initial`` (keys, _state) holds the states to go on from. Ordinary keys are folded
+    in one go, hot keys slot by slot in parallel; the result is exact in both cases.
+    """
+    started = _started(df, keys, order, step, initial)
+    return _arranged(started, keys, order).mapInPandas(_scan(step, keys, True), out_schema)
+
+
+def fold_states(
+    df: DataFrame, keys: list[str], order: list[str], step: Step, initial: DataFrame | None = None
+) -> DataFrame:
+    """(keys, _state) after all rows, for the keys that have rows."""
+    started = _started(df, keys, order, step, initial)
+    schema = T.StructType(
+        [*[df.schema[k] for k in keys], T.StructField(SLOT, T.IntegerType()), T.StructField("_state", T.StringType())]
+    )
+    ends = _arranged(started, keys, order).mapInPandas(_scan(step, keys, False), schema)
+    return ends.groupBy(*keys).agg(F.max_by("_state", SLOT).alias("_state"))

@@ -94,7 +94,7 @@ def count_distinct(df: DataFrame, keys: list, cols: dict[str, str]) -> DataFrame
 
 
 def month_index(ts: Column) -> Column:
-    return F.year(ts) * 12 + F.month(ts)
+    return (F.year(ts) * 12 + F.month(ts)).cast("long")
 
 
 def calendar_range_avg(df: DataFrame, month: str, value: str, back: int = 2, by: list[str] = ()) -> DataFrame:

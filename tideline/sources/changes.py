@@ -6,16 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# bounds a micro-batch; a restart with a backlog then works it off in pieces
+FILES_PER_TRIGGER = 1000
+ROWS_PER_TRIGGER = 50_000_000
 
-def change_stream(spark: SparkSession, path: str, row_schema: str, per_trigger: int | None = None) -> DataFrame:
+
+def change_stream(spark: SparkSession, path: str, row_schema: str, per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Stream of JSON change files: op, ts, seq, id and the columns of the row.
 
     Deletes carry the row in ``before``; every other record in ``after``.
     """
     envelope = f"op string, ts bigint, seq bigint, id string, before struct<{row_schema}>, after struct<{row_schema}>"
-    reader = spark.readStream.format("json").schema(envelope)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    reader = spark.readStream.format("json").schema(envelope).option("maxFilesPerTrigger", per_trigger)
     return flatten_changes(reader.load(path))
 
 
@@ -27,6 +29,7 @@ def kafka_changes(spark: SparkSession, servers: str, topic: str, row_schema: str
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
+        .option("maxOffsetsPerTrigger", ROWS_PER_TRIGGER)
         .load()
     )
     return flatten_changes(raw.select(F.from_json(F.col("value").cast("string"), envelope).alias("m")).select("m.*"))
@@ -37,12 +40,10 @@ def flatten_changes(records: DataFrame) -> DataFrame:
     return records.select("op", "ts", "seq", "id", row.alias("_row")).select("op", "ts", "seq", "id", "_row.*")
 
 
-def event_log_read(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
+def event_log_read(spark: SparkSession, path: str, schema: str, per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """State events from the beginning of the log; the checkpoint of the query keeps the position."""
     reader = spark.readStream.format("json").schema(schema).option("latestFirst", "false")
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.load(path)
+    return reader.option("maxFilesPerTrigger", per_trigger).load(path)
 
 
 def stream_union(*streams: DataFrame) -> DataFrame:

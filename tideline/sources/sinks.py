@@ -44,16 +44,24 @@ def apply_changes(batch: DataFrame, batch_id: int, target: str, keys: list[str],
     last.write.mode("overwrite").parquet(f"{target}/changes/batch_id={batch_id}")
 
 
-def _pending(spark: SparkSession, target: str) -> tuple[int | None, list[int]]:
-    bases = _versions(spark, f"{target}/base", "v")
+def _pending(spark: SparkSession, target: str, before: int | None = None) -> tuple[int | None, list[int]]:
+    def wanted(v: int) -> bool:
+        return before is None or v < before
+
+    bases = [v for v in _versions(spark, f"{target}/base", "v") if wanted(v)]
     newest = bases[-1] if bases else None
     floor = -1 if newest is None else newest
-    return newest, [b for b in _versions(spark, f"{target}/changes", "batch_id") if b > floor]
+    return newest, [b for b in _versions(spark, f"{target}/changes", "batch_id") if b > floor and wanted(b)]
+
 
+def read_replica(
+    spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq"), before: int | None = None
+) -> DataFrame:
+    """Current rows of a keyed replica; columns added by later batches are included.
 
-def read_replica(spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq")) -> DataFrame:
-    """Current rows of a keyed replica; columns added by later batches are included."""
-    newest, batches = _pending(spark, target)
+    ``before`` leaves out that batch and later ones (what a replayed batch has to start from).
+    """
+    newest, batches = _pending(spark, target, before)
     base = None if newest is None else spark.read.parquet(f"{target}/base/v={newest}")
     if not batches:
         if base is None:
@@ -69,12 +77,17 @@ def read_replica(spark: SparkSession, target: str, keys: list[str], op: str = "o
     return cdc_apply(base, changes, keys, op, list(order))
 
 
-def compact_replica(spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq")) -> int:
-    """Fold pending batches into a new base; readers switch once its files are complete."""
-    _, batches = _pending(spark, target)
+def compact_replica(
+    spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq"), before: int | None = None
+) -> int:
+    """Fold pending batches into a new base; readers switch once its files are complete.
+
+    Returns the last batch folded in, -1 when there was none. With ``before``, batches from there on stay pending.
+    """
+    _, batches = _pending(spark, target, before)
     if not batches:
         return -1
-    write_base(read_replica(spark, target, keys, op, order), target, batches[-1])
+    write_base(read_replica(spark, target, keys, op, order, before), target, batches[-1])
     return batches[-1]
 
 
