@@ -7,14 +7,22 @@ the library computes (types, tables, fingerprints) are spelled out there by hand
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tideline.functions.sql_text import normalize_sql, query_type, referenced_tables
 
 NOW = 1_706_659_200_000  # 2024-01-31T00:00:00Z, after the last event
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A benchmark table; its schema is read from the files once per process."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # ---- statement templates -----------------------------------------------------

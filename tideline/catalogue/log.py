@@ -54,6 +54,11 @@ def is_write(spark, sf):
     return log.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("is_read", L + "SELECT id FROM log WHERE query_type = 'SELECT'")
+def is_read(spark, sf):
+    return statement_log(spark, sf).filter(st.is_read("sql")).select("id")
+
+
 @query("referenced_tables", L + "SELECT id, table_names AS tables FROM log")
 def referenced_tables(spark, sf):
     return statement_log(spark, sf).select("id", _joined(st.referenced_tables("sql")).alias("tables"))

@@ -112,11 +112,21 @@ def vector_share(spark, sf):
     return _text(se.vector_ratio(se.sum_by(left, ["host"]), se.sum_by(right, ["host"]), on=["host"], part_of_sum=True), _r("value"))
 
 
-@query("offset_delta", W + "SELECT a.sec, a.name, a.labels, round(a.v - b.v, 6) AS delta FROM samples a JOIN samples b ON b.name = a.name AND b.labels = a.labels AND b.sec = a.sec - 3600")
-def offset_delta(spark, sf):
+@query("offset", W + "SELECT a.sec, a.name, a.labels, round(a.v - b.v, 6) AS delta FROM samples a JOIN samples b ON b.name = a.name AND b.labels = a.labels AND b.sec = a.sec - 3600")
+def offset(spark, sf):
     return _text(se.offset(hourly(spark, sf), 3600), "name", _r("delta"))
 
 
+@query("offset_delta", """WITH m AS (SELECT event_type, epoch_us(ts) // 60000000 * 60 AS sec, count(*) AS n FROM events GROUP BY ALL)
+SELECT a.event_type, a.sec, a.n - b.n AS delta FROM m a JOIN m b ON b.event_type = a.event_type AND b.sec = a.sec - 60""")
+def offset_delta(spark, sf):
+    """Events per minute against the minute before."""
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    per = table(spark, sf, "events").groupBy("event_type", minute.alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    out = re.offset_delta(per, ["event_type"], "ts", "n", 60)
+    return out.select("event_type", F.unix_seconds("ts").alias("sec"), "delta")
+
+
 @query("top_k_per_instant", """SELECT day, user_id, n, place FROM (SELECT CAST(ts AS DATE)::VARCHAR AS day, user_id, count(*) AS n,
 CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY count(*) DESC, user_id) AS INTEGER) AS place FROM events GROUP BY 1, CAST(ts AS DATE), 2) WHERE place <= 5""")
 def top_k_per_instant(spark, sf):

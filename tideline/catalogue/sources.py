@@ -143,6 +143,43 @@ def scale_albums(spark, sf):
     return dg.scale_albums(spark, largest, n, n)
 
 
+# dimensions grow to the number of orders; the store's tables give what is there already
+SCALED = """WITH e AS (SELECT max(o_orderkey) AS io, count(*) AS no FROM orders), p AS (SELECT max(p_partkey) AS ip, count(*) AS np FROM part),
+l AS (SELECT count(*) AS nl FROM lineitem), x AS (SELECT *, 2 * no AS target, 2 * no - np AS need_t, 2 * no - no AS need_i FROM e, p, l),
+inv AS (SELECT unnest(range(io + 1, io + 1 + need_i)) AS k, io, nl, target FROM x),
+ln AS (SELECT nl + (k - io - 1) * 5 + y + 1 AS id, k AS inv, CAST((79 + ((k + y) % 20) * 19) * (1 + (k + y) % 5) AS HUGEINT) AS cents FROM inv, range(5) r(y)),
+ex AS (SELECT nl + 5 * need_i + i + 1 AS id, i, target FROM (SELECT *, unnest(range(2 * nl)) AS i FROM x)),
+ex2 AS (SELECT id, 1 + (id - 1) % target AS inv, CAST((69 + ((id + i) % 17) * 22) * (1 + (id + i) % 6) AS HUGEINT) AS cents FROM ex),
+al AS (SELECT * FROM ln UNION ALL SELECT * FROM ex2)
+SELECT 'tracks' AS name, need_t AS n, CAST(ip * need_t + need_t * (need_t + 1) // 2 AS BIGINT) AS key_sum, CAST(NULL AS DOUBLE) AS amount FROM x
+UNION ALL SELECT 'lines', count(*), CAST(sum(id) AS BIGINT), CAST(sum(cents) / 100.0 AS DOUBLE) FROM al
+UNION ALL SELECT 'invoices', (SELECT need_i FROM x), (SELECT CAST(sum(k) AS BIGINT) FROM inv), CAST(sum(cents) / 100.0 AS DOUBLE) FROM al WHERE inv IN (SELECT k FROM inv)"""
+
+
+@query("scale_dataset", SCALED)
+def scale_dataset(spark, sf):
+    orders, lines = _extent(table(spark, sf, "orders"), "o_orderkey"), table(spark, sf, "lineitem").count()
+    parts, lists = _extent(table(spark, sf, "part"), "p_partkey"), _extent(table(spark, sf, "supplier"), "s_suppkey")
+    people = _extent(table(spark, sf, "customer"), "c_custkey")
+    present = {
+        "genres": (25, 25), "media": (6, 6), "artists": (25, 25), "albums": (50, 50), "tracks": parts, "playlists": lists,
+        "employees": (24, 25), "customers": people, "invoices": orders, "lines": (lines, lines), "playlist_tracks": (lists[0], lines),
+    }
+    target = 2 * orders[1]
+    line_target = 3 * lines + 5 * (target - orders[1])
+    new = dg.scale_dataset(spark, present, target, 3 * lines, line_target)
+    line = new["lines"].select(F.col("InvoiceLineId").alias("k"), (F.col("UnitPrice") * F.col("Quantity")).alias("v"))
+    parts_of = {
+        "tracks": new["tracks"].select(F.col("TrackId").alias("k"), F.lit(None).cast("decimal(18,2)").alias("v")), "lines": line,
+        "invoices": new["invoices"].select(F.col("InvoiceId").alias("k"), F.col("Total").alias("v")),
+    }
+    sums = [
+        df.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("key_sum"), F.sum("v").cast("double").alias("amount")).select(F.lit(name).alias("name"), "*")
+        for name, df in parts_of.items()
+    ]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
 # ---- streams -----------------------------------------------------------------
 
 
