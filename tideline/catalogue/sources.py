@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tideline.bindings import RECORDS_SQL, cdc_records, statement_log, table
@@ -200,6 +202,19 @@ def _run(q):
     return q
 
 
+@contextmanager
+def _local_state_partitions(spark):
+    """A stateful stream opens one store per shuffle partition; on one machine 8 are enough."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), 8)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query("change_stream", APPLIED)
 def change_stream(spark, sf):
     """Change files -> stream -> keyed replica over the snapshot -> its rows."""
@@ -240,7 +255,8 @@ def stream_dedup(spark, sf):
     ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     ev.unionByName(ev.filter(F.col("event_id") % 3 == 0)).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(ev.schema).parquet(f"{root}/in")
-    _run(sk.append_sink(stf.stream_dedup(stream, "event_id", "ts"), f"{root}/out", f"{root}/cp"))
+    with _local_state_partitions(spark):
+        _run(sk.append_sink(stf.stream_dedup(stream, "event_id", "ts"), f"{root}/out", f"{root}/cp"))
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
 
 
@@ -285,7 +301,8 @@ def sync_monitor_stream(spark, sf):
     records = cdc_records(spark, sf)
     stream = _in_time_order(spark, records, root, F.floor(F.col("seq") * 3 / _size(records, "seq")))
     out = stf.sync_monitor_stream(stream, "job_id")
-    _run(sk.append_sink(out, f"{root}/out", f"{root}/cp"))
+    with _local_state_partitions(spark):
+        _run(sk.append_sink(out, f"{root}/out", f"{root}/cp"))
     return spark.read.parquet(f"{root}/out").select("job_id", "ts", "seq", *MONITOR_SCHEMA.names)
 
 
@@ -306,8 +323,9 @@ def ewma_stream(spark, sf):
     def write(batch, batch_id):
         sk.apply_changes(batch, batch_id, f"{root}/out", ["client_uuid"])
 
-    q = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-    _run(q)
+    writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/cp")
+    with _local_state_partitions(spark):
+        _run(writer.trigger(availableNow=True).start())
     out = sk.read_replica(spark, f"{root}/out", ["client_uuid"])
     return out.select("client_uuid", F.round("ewma", 4).alias("ewma"), "executions")
 

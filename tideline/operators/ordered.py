@@ -60,16 +60,10 @@ def hot_slots(df: DataFrame, keys: list[str], order: list[str]) -> Slotted:
     spark = df.sparkSession
     min_rows, slots = _settings(df)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        # one aggregate per key; only keys above the fixed floor can be hot
-        big = sizes.filter(F.col("_n") > min_rows)
-        if big.isEmpty():
-            return Slotted(df.withColumn(SLOT, F.lit(0)), False)
-        total = df.count()
-        big = big.filter(F.col("_n") > F.lit(total / slots)).collect()
-    else:
-        big = [r for r in sizes.collect() if r["_n"] > min_rows]
-        total = big[0]["_n"] if big else 0
+    # the largest keys first: every key above total / slots is among them
+    big = sizes.filter(F.col("_n") > min_rows).orderBy(F.desc("_n")).limit(slots).collect()
+    total = df.count() if big else 0
+    big = [r for r in big if r["_n"] > total / slots]
     if not big:
         return Slotted(df.withColumn(SLOT, F.lit(0)), False)
 
@@ -260,7 +254,7 @@ def _scan(step: Step, keys: list[str], emit_rows: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = [*keys, SLOT]
-        current, state, template = None, None, None
+        current, state = None, None
 
         def closing() -> pd.DataFrame:
             row = dict(zip(group, current))

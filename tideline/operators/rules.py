@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.connection import job_name, parse_connection
-from tideline.functions.sql_text import csv_items, explode_each
+from tideline.functions.sql_text import csv_items, explode_each, let
 from tideline.operators.ordered import numbered
 
 MANAGED_PREFIX = "managed-"
@@ -88,9 +88,11 @@ def resolve_tables(rules: DataFrame, statements: DataFrame) -> DataFrame:
 
 def _endpoint(conn: Column) -> Column:
     """Database of a connection that replication can use: known kind, host, credentials and database."""
-    p = parse_connection(conn)
-    usable = p["host"].isNotNull() & p["database"].isNotNull() & p["username"].isNotNull() & p["has_password"]
-    return F.when(usable, p["database"])
+    def usable(p: Column) -> Column:
+        complete = p["host"].isNotNull() & p["database"].isNotNull() & p["username"].isNotNull() & p["has_password"]
+        return F.when(complete, p["database"])
+
+    return let(parse_connection(conn), usable)
 
 
 def expected_jobs(rules: DataFrame, statements: DataFrame, prefix: str = MANAGED_PREFIX) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.operators.relational import duplicate_keys  # noqa: F401  (part of the key checks)
-
 LISTING = "table_name string, ordinal int, column_name string, type string, nullable boolean, column_default string, remark string"
 
 
