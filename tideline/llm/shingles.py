@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled at once; a longer text is one block of its own
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 500_000
 _RNG = np.random.default_rng(20_240_229)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
