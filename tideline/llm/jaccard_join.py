@@ -96,7 +96,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _shared(rows: DataFrame, n_tokens: int, sums: bool) -> DataFrame:
-    """Of tokens that several classes have: class, token, df; or with `sums` only class, n of them counted in a task."""
+    """Of tokens that several classes have: class, token, df; or with `sums` only the class."""
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // TASK_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +115,13 @@ def _shared(rows: DataFrame, n_tokens: int, sums: bool) -> DataFrame:
         df = np.repeat(np.diff(np.append(begin, len(t))), np.diff(np.append(begin, len(t))))
         c, t, df = c[df > 1], t[df > 1], df[df > 1].astype(np.int32)
         if sums:
-            c, n = np.unique(c, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n.astype(np.int64))], names=["class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c)], names=["class"])
         else:
             for a in range(0, len(t), 200_000):
                 yield _batches([(c[a : a + 200_000], t[a : a + 200_000], df[a : a + 200_000])], ["class", "token", "df"])
 
     rows = rows.where("df = 0").select("class", "token").repartition(tasks, "token")
-    return rows.mapInArrow(run, "class long, n long" if sums else "class long, token long, df int")
+    return rows.mapInArrow(run, "class long" if sums else "class long, token long, df int")
 
 
 def _whole_sets(rows: DataFrame, n_tokens: int, percent: int) -> DataFrame:
@@ -190,15 +189,14 @@ def open_group(n_left: np.ndarray, left: list[np.ndarray], n_right: np.ndarray,
     rows, cols = np.arange(len(left)), np.arange(len(right))
     if not same:
         # the bound: overlap with the union of the other side's tokens
-        for _ in range(1):
-            union = np.unique(np.concatenate([right[j] for j in cols]))
-            rows = rows[[len(np.intersect1d(left[i], union, assume_unique=True)) * 100 >= percent * n_left[i] for i in rows]]
-            if not len(rows):
-                return []
-            union = np.unique(np.concatenate([left[i] for i in rows]))
-            cols = cols[[len(np.intersect1d(right[j], union, assume_unique=True)) * 100 >= percent * n_right[j] for j in cols]]
-            if not len(cols):
-                return []
+        union = np.unique(np.concatenate([right[j] for j in cols]))
+        rows = rows[[len(np.intersect1d(left[i], union, assume_unique=True)) * 100 >= percent * n_left[i] for i in rows]]
+        if not len(rows):
+            return []
+        union = np.unique(np.concatenate([left[i] for i in rows]))
+        cols = cols[[len(np.intersect1d(right[j], union, assume_unique=True)) * 100 >= percent * n_right[j] for j in cols]]
+        if not len(cols):
+            return []
     both = overlaps([left[i] for i in rows], [right[j] for j in cols])
     hit = 100 * both >= percent * (n_left[rows][:, None] + n_right[cols][None, :] - both)
     if same:
@@ -318,7 +316,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     some = _tokens(one_each, width, FIRST, common)
     counted = _shared(some, total * FIRST // 100, True)
     marks = some.where("df <> 0").groupBy("class").agg(F.sum(F.when(F.col("df") == _COMMON, 1).otherwise(0)).alias("n"), F.max(F.when(F.col("df") < 0, -F.col("df"))).alias("size"))
-    counted = counted.groupBy("class").agg(F.sum("n").alias("more"))
+    counted = counted.groupBy("class").agg(F.count("*").alias("more"))
     # A set looks at FIRST percent + 1 tokens, of which a partner lacks at most 100 - percent percent of the set. Of two partners,
     # the one that looks less far shares all the rest with the other's first tokens, and it has percent of the other's size at least.
     least = F.expr(f"({FIRST - 100 + percent} * ((size * {percent} + 99) div 100)) div 100 + 1")
