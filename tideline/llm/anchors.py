@@ -14,33 +14,32 @@ GRAM = 64
 _TOP = np.uint64(2**64 - 1)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(7_919).integers(1, 2**64, 256, dtype=np.uint64)
-_POWERS = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_KEPT: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base, kept for the next call while they are of ordinary size."""
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(n, _BASE, np.uint64)
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of a base, kept for the next call while they are of ordinary size."""
+    if len(_KEPT.get(int(base), ())) < n:
+        p = np.full(n, base, np.uint64)
         p[0] = 1
         p = np.multiply.accumulate(p)
-        if n > 16_000_000:
+        if n > 4_000_000:
             return p
-        _POWERS = p
-    return _POWERS[:n]
+        _KEPT[int(base)] = p
+    return _KEPT[int(base)][:n]
 
 
 class Prints:
-    """Fingerprints of substrings of a byte block, equal where the bytes are equal."""
+    """Fingerprints of substrings of a byte block: equal where the bytes are equal, in whatever block and place."""
 
     def __init__(self, raw: np.ndarray) -> None:
-        self.n = len(raw)
-        self.power = powers(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * self.power[: self.n], out=self.sums[1:])
+        self.back = powers(_INVERSE, len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers(_BASE, len(raw) + 1)[:-1], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.power[self.n - begin])
+        return mix((self.sums[end] - self.sums[begin]) * self.back[begin])
 
 
 def sliding(x: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:

@@ -184,7 +184,7 @@ class Model:
         return " ".join([t for b, t in runs if t and p[b] >= 0.5])
 
 
-def train(pages: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 0.002) -> Model:
+def train(pages: list[str], rounds: int = 200, rate: float = 1.0, decay: float = 0.0005) -> Model:
     """Gradient ascent on the likelihood of labelled pages; a block without data-y has its parent's label, the page 0."""
     model = Model({}, [[0.0, 0.0], [0.0, 0.0]])
     parsed = []
@@ -221,7 +221,7 @@ comment comments reply respond disqus pagination pager tags toolbar skip legal d
 _HOLDERS = ["<article data-y=1>{}</article>", "<main data-y=1>{}</main>", '<div class="content" data-y=1>{}</div>', '<div id="article-body" data-y=1>{}</div>', '<div class="post entry" data-y=1>{}</div>', '<section class="story text" data-y=1>{}</section>', '<div id="main" data-y=1>{}</div>', "<main><article data-y=1>{}</article></main>", '<div class="wrapper container page" ><article data-y=1>{}</article></div>']
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     """Pages put together from labelled parts (data-y) in many layouts."""
     rng = random.Random(seed)
 
@@ -244,10 +244,11 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
     out = []
     for _ in range(n):
         body = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
-        body += [inside() for _ in range(rng.randint(1, 9))]
+        body += [inside() for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6, 9]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), outside())
-        held = rng.choice(_HOLDERS).format("".join(body))
+        bare = rng.random() < 0.15  # no holder: the blocks lie beside what surrounds them
+        held = "".join(re.sub(r"^<(\w+)(?=>)", r"<\1 data-y=1", x) for x in body) if bare else rng.choice(_HOLDERS).format("".join(body))
         around = [outside() for _ in range(rng.randint(0, 4))], [outside() for _ in range(rng.randint(0, 4))]
         out.append(f"<html><head><title>x</title></head><body>{''.join(around[0])}{held}{''.join(around[1])}</body></html>")
     return out

@@ -298,6 +298,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     doc_id takes part but names no component unless all are null. No cap: every pair of different sets that may link is compared,
     and sets that equal another are represented by one of them.
     """
+    return _grouped(docs, doc_id, text, width, percent).select("doc_id", "text_hash", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components and g, which tells components apart even where doc_ids repeat."""
     known = stored(shingle_classes(docs, doc_id, text, width), "classes")
     real = known.where("class IS NOT NULL")
     name = F.struct("doc_id", "text_hash")
@@ -336,15 +341,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = stored(members.withColumn("g", group), "members")
     least = members.where("g.k < 2").groupBy("g").agg(F.min("doc_id").alias("least"))
     out = members.join(least, "g", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("g.k") == 2, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "g", F.when(F.col("g.k") == 2, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: that of the least doc_id; documents without words all stay. Columns stay."""
-    found = jaccard_components(docs, doc_id, text, width, percent)
+    found = stored(_grouped(docs, doc_id, text, width, percent), "found")
     # of rows that repeat the least doc_id the least text hash stays, of fully repeated rows one
-    head = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.count("*").alias("n"))
-    keys = found.where("n_shingles > 0").join(head, found["component_id"].eqNullSafe(head["component_id"])).where("n > 1")
+    head = found.where("n_shingles > 0").groupBy("g").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.count("*").alias("n"))
+    keys = found.where("n_shingles > 0").join(head.where("n > 1"), "g")
     gone = stored(keys.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("x"))).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "gone")
     twice = stored(found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")), "twice")
 
