@@ -24,7 +24,7 @@ def test_marginals_match_enumeration(model):
     for state in range(1 << n):
         y = [state >> i & 1 for i in range(n)]
         w = -30.0 * y[0] + sum(model.weights.get(f, 0.0) * y[i] for i in range(1, n) for f in html_text.features(nodes[i]))
-        w = math.exp(w + sum(model.pair[y[nodes[i].parent]][y[i]] for i in range(1, n)))
+        w = math.exp(w + sum(model.pair[html_text.kind(nodes[i])][y[nodes[i].parent]][y[i]] for i in range(1, n)))
         total += w
         on = [a + w * b for a, b in zip(on, y)]
     assert model.marginals(nodes)[0] == pytest.approx([x / total for x in on], abs=1e-9)
@@ -46,10 +46,10 @@ def test_held_out_blocks(model):
 
 CASES = [
     ("", ""),
-    ("<p>plain   words &amp; more\n&eacute;</p>", "plain words & more é"),
+    ("<main><p>plain   words &amp; more\n&eacute;</p></main>", "plain words & more é"),
     ("<nav><a>menu</a></nav><article><h1>T</h1><p>a<b>b</b>c<p>d<br>e<script>x</script><!-- c --></article><footer>f</footer>", "T abc d e"),
     ("<article><p>kept &lt;b&gt; &am</p><style>p{}</style><aside>side</aside><form><label>mail</label><button>ok</button></form><p>cut off <a hr", "kept <b> &am cut off"),
-    ('<div class="content"><p>one two three</p></div><section id="comments"><p>first!</p></section>', "one two three"),
+    ('<div class="content"><h1>one</h1><p>two</p><p>three</p></div><section id="comments"><p>first!</p></section>', "one two three"),
     ("<article><table><tr><td>1<td>2<tr><td>3</table><ul><li>x<li>y</ul></article>", "1 2 3 x y"),
     ("just < text", "just < text"),
 ]

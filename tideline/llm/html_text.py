@@ -7,6 +7,7 @@ child are tied by a pair potential. Sum-product messages go up and down the tree
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import random
 import re
@@ -142,32 +143,45 @@ def features(node: Block) -> list[str]:
     """Names of a block's features."""
     out = ["tag " + node.tag, *("name " + w for w in set(node.names))]
     if node.chars:
-        out.append(f"size {min(4, int(math.log10(node.chars) * 2))}")
+        if node.chars >= 100:
+            out.append("long")
         out.append(f"links {min(2, node.linked * 3 // node.chars)}")
     return out
 
 
+#: elements that mostly share the fate of what holds them, unless they have a name
+_PLAIN = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr tbody thead tfoot table caption blockquote pre figure figcaption div section center hgroup details summary".split())
+
+
+def kind(node: Block) -> int:
+    """0 for plain blocks, 1 for those with a name or an element of their own meaning."""
+    return int(bool(node.names) or node.tag not in _PLAIN)
+
+
 @dataclass
 class Model:
-    """Weights of features for content, and log potentials pair[parent state][child state]."""
+    """Weights of features for content, and log potentials pair[kind of child][parent state][child state]."""
 
     weights: dict[str, float]
-    pair: list[list[float]]
+    pair: list[list[list[float]]]
 
     def marginals(self, nodes: list[Block]) -> tuple[list[float], list[float]]:
         """P(content) of every block, and of every block and its parent together; exact on a tree: one pass up, one down."""
         w, n = self.weights, len(nodes)
-        e00, e01, e10, e11 = (math.exp(x) for row in self.pair for x in row)
+        tables = [tuple(math.exp(x) for row in table for x in row) for table in self.pair]
+        ties = [tables[kind(x)] for x in nodes]
         below = [sum([w.get(f, 0.0) for f in features(x)]) for x in nodes]  # log odds of a block and all under it
         below[0] = -30.0  # the page itself is not content
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
             b = math.exp(max(-30.0, min(30.0, below[i])))
+            e00, e01, e10, e11 = ties[i]
             up[i] = math.log((e11 * b + e10) / (e01 * b + e00))
             below[nodes[i].parent] += up[i]
         odds, both = [0.0] * n, [0.0] * n
         odds[0] = below[0]
         for i in range(1, n):
+            e00, e01, e10, e11 = ties[i]
             rest = odds[nodes[i].parent] - up[i]  # the parent without this child
             r = math.exp(max(-30.0, min(30.0, rest)))
             odds[i] = below[i] + math.log((e11 * r + e01) / (e10 * r + e00))
@@ -184,9 +198,9 @@ class Model:
         return " ".join([t for b, t in runs if t and p[b] >= 0.5])
 
 
-def train(pages: list[str], rounds: int = 200, rate: float = 1.0, decay: float = 0.0005) -> Model:
-    """Gradient ascent on the likelihood of labelled pages; a block without data-y has its parent's label, the page 0."""
-    model = Model({}, [[0.0, 0.0], [0.0, 0.0]])
+def train(pages: list[str], rounds: int = 300, rate: float = 0.4, decay: float = 0.0001) -> Model:
+    """Gradient ascent (Adagrad) on the likelihood of labelled pages; a block without data-y has its parent's label, the page 0."""
+    model = Model({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in (0, 1)])
     parsed = []
     for page in pages:
         nodes, _ = parse(page)
@@ -194,22 +208,30 @@ def train(pages: list[str], rounds: int = 200, rate: float = 1.0, decay: float =
         for x in nodes[1:]:
             x.label = nodes[x.parent].label if x.label is None else x.label
         parsed.append((nodes, [features(x) for x in nodes]))
-    total = sum(len(n) for n, _ in parsed)
+    squares: dict = {}
+
+    def up_by(key, gradient: float) -> float:
+        squares[key] = squares.get(key, 1e-6) + gradient * gradient
+        return rate * gradient / math.sqrt(squares[key])
+
     for _ in range(rounds):
-        step, pair = {}, [[0.0, 0.0], [0.0, 0.0]]
+        step, pair = {}, [[[0.0, 0.0], [0.0, 0.0]] for _ in (0, 1)]
         for nodes, feats in parsed:
             p, both = model.marginals(nodes)
             for i in range(1, len(nodes)):
                 for f in feats[i]:
                     step[f] = step.get(f, 0.0) + nodes[i].label - p[i]
-                up = p[nodes[i].parent]
+                up, tie = p[nodes[i].parent], pair[kind(nodes[i])]
                 expected = ((1 - up - p[i] + both[i], p[i] - both[i]), (up - both[i], both[i]))
                 for a in (0, 1):
                     for b in (0, 1):
-                        pair[a][b] += (nodes[nodes[i].parent].label == a and nodes[i].label == b) - expected[a][b]
+                        tie[a][b] += (nodes[nodes[i].parent].label == a and nodes[i].label == b) - expected[a][b]
         for f, g in step.items():
-            model.weights[f] = model.weights.get(f, 0.0) * (1 - decay) + rate * g / math.sqrt(total)
-        model.pair = [[model.pair[a][b] * (1 - decay) + rate * pair[a][b] / math.sqrt(total) / 4 for b in (0, 1)] for a in (0, 1)]
+            w = model.weights.get(f, 0.0)
+            model.weights[f] = w + up_by(f, g - decay * len(parsed) * w)
+        for k, a, b in itertools.product((0, 1), repeat=3):
+            w = model.pair[k][a][b]
+            model.pair[k][a][b] = w + up_by((k, a, b), pair[k][a][b] - decay * len(parsed) * w)
     return model
 
 
@@ -247,10 +269,10 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         body += [inside() for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6, 9]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), outside())
-        bare = rng.random() < 0.15  # no holder: the blocks lie beside what surrounds them
-        held = "".join(re.sub(r"^<(\w+)(?=>)", r"<\1 data-y=1", x) for x in body) if bare else rng.choice(_HOLDERS).format("".join(body))
+        bare = rng.random() < 0.2  # no holder: the blocks lie beside what surrounds them
+        held = "".join(body) if bare else rng.choice(_HOLDERS).format("".join(body))
         around = [outside() for _ in range(rng.randint(0, 4))], [outside() for _ in range(rng.randint(0, 4))]
-        out.append(f"<html><head><title>x</title></head><body>{''.join(around[0])}{held}{''.join(around[1])}</body></html>")
+        out.append(f"<html><head><title>x</title></head><body{' data-y=1' * bare}>{''.join(around[0])}{held}{''.join(around[1])}</body></html>")
     return out
 
 
