@@ -27,9 +27,11 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def partitions_for(spark: SparkSession, n_bytes: int, each: int = 16_000_000) -> int:
-    """Partitions of about `each` bytes, at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most `rows` rows: what a task makes of one is bounded by that."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def components(edges: DataFrame, kind: str = "long") -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.common import slices
+
 #: bounds of what is learned: rows and characters of a row taken for a language, and its dictionaries
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARIES, DICTIONARY_BYTES = 400, 2000, 2, 112_000
 #: a text is compressed in pieces of so many bytes, since a long text becomes its own dictionary
@@ -108,7 +110,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = send.value
-        for batch in batches:
+        for batch in slices(batches):
             pred, score = [], []
             for t in batch.column(columns.index(text)).to_pylist():
                 language, by = m.predict(t)

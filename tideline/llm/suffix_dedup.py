@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.anchors import GRAM, Prints, anchors
-from tideline.llm.common import broadcast_if_small, components, stored
+from tideline.llm.common import broadcast_if_small, components, slices, stored
 from tideline.llm.shingles import blocks, mix
 
 SPAN = 400
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
 _STRIP = 64
 
 
@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, shard_
     reach = span - min(GRAM, span)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             t = batch.column(1).to_numpy(zero_copy_only=False)
             for first, _, raw, starts in blocks(batch.column(0)):
                 prints = Prints(raw)
@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, shard_
     size = wanted.agg(F.coalesce(F.sum(F.size("parts") * 16 + 64), F.lit(0))).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for r in batch.to_pylist():
                 data = r["text"].encode()
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, shard_
     names, at = docs.columns, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans, kept = [], []
             for t, parts in zip(batch.column(at), batch.column(len(names)), strict=True):
                 data, runs, out, end = (t.as_py() or "").encode(), [], [], 0
