@@ -223,7 +223,7 @@ def test_breaker_reopens_after_expiry(spark):
     got = [(r["refused"], r["failures"]) for r in health.failure_breaker(df, "k", ["ts", "id"], "ok").orderBy("id").collect()]
     # open from 2 up to and at 60002; one failure opens it again up to 120003; the next success clears it
     assert got == [
-        (False, 1), (False, 2), (False, 3), (True, 3), (False, 3), (True, 3), (True, 3), (False, 0), (False, 1),
+        (False, 1), (False, 2), (False, 3), (True, 3), (False, 4), (True, 4), (True, 4), (False, 0), (False, 1),
     ]
 
 
@@ -465,3 +465,36 @@ def test_union_ci_prefers_the_first_frame(spark):
     a = spark.createDataFrame([("Users",)], "name string")
     b = spark.createDataFrame([("users",), ("Orders",)], "name string")
     assert {r["key"]: r["name"] for r in re.union_distinct_ci(a, b).collect()} == {"users": "Users", "orders": "Orders"}
+
+
+def test_jobs_nest_to_any_depth(spark):
+    from tideline.functions.job_json import jobs_by_name
+
+    inner = '{"jobName":"deep","jobId":"7"}'
+    for k in range(6):
+        inner = '{"jobName":"level%d","jobId":"%d","jobs":[%s]}' % (k, k, inner)
+    got = {tuple(r) for r in jobs_by_name(spark.createDataFrame([(1, f"[{inner}]"), (2, '{"jobName":"level0","jobId":"new"}')], "pos int, json string")).collect()}
+    assert got == {("deep", "7"), ("level0", "new"), *((f"level{k}", str(k)) for k in range(1, 6))}
+
+
+def test_failures_count_on(spark):
+    df = spark.createDataFrame([(i, "k", i * 70_000, False) for i in range(6)], "id int, k string, ts long, ok boolean")
+    got = [r["failures"] for r in health.failure_breaker(df, "k", ["ts", "id"], "ok").orderBy("id").collect()]
+    assert got == [1, 2, 3, 4, 5, 6]
+
+
+def test_splits_have_no_ceiling(spark):
+    from tideline.sources.snapshot import plan_splits
+
+    assert plan_splits(spark.createDataFrame([(1, 10, 10**9)], "lower long, upper long, rows long")).first()["partitions"] == -(-(10**9) // 8096)
+
+
+def test_trend_over_a_gap(spark):
+    import datetime as d
+
+    from tideline.plans.store import revenue_trend
+
+    rows = [(d.datetime(2020, m, 5), 10.0 * m) for m in (1, 2, 4, 5, 6)]
+    out = {r["BillingMonth"]: r for r in revenue_trend(spark.createDataFrame(rows, "InvoiceDate timestamp, Total double").selectExpr("InvoiceDate", "CAST(Total AS decimal(12,2)) AS Total")).collect()}
+    assert out["2020-04"]["DeltaPrevMonth"] is None and out["2020-05"]["DeltaPrevMonth"] == 10.0
+    assert out["2020-04"]["RollingAvg3m"] == 30.0

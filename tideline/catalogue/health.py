@@ -133,7 +133,7 @@ def dirty_transaction(spark, sf):
 BREAKER = """WITH RECURSIVE calls AS MATERIALIZED (SELECT 'k' || (user_id % 12) AS key, event_id * 700 AS ts, event_id, event_type IN ('purchase', 'signup') AS ok,
  row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) AS rn FROM events),
 fold AS (SELECT key, 0::BIGINT AS rn, 0::BIGINT AS ts, 0::BIGINT AS event_id, false AS refused, 0 AS n, 0::BIGINT AS until FROM (SELECT DISTINCT key FROM calls)
- UNION ALL SELECT key, rn, ts, event_id, b, CASE WHEN b THEN n WHEN ok THEN 0 ELSE least(n + 1, 3) END,
+ UNION ALL SELECT key, rn, ts, event_id, b, CASE WHEN b THEN n WHEN ok THEN 0 ELSE n + 1 END,
   CASE WHEN b THEN until WHEN ok THEN 0 WHEN n + 1 >= 3 THEN greatest(until, ts + 60000) ELSE until END
  FROM (SELECT c.key, c.rn, c.ts, c.event_id, c.ok, f.n, f.until, f.n >= 3 AND c.ts <= f.until AS b FROM fold f JOIN calls c ON c.key = f.key AND c.rn = f.rn + 1))
 SELECT key, ts, event_id, refused, n AS failures, until AS open_until FROM fold WHERE rn > 0"""

@@ -12,7 +12,7 @@ from tideline.catalogue.cdc import APPLIED, SHOWN, _fold, order_changes, order_s
 from tideline.catalogue.health import BREAKER, EWMA, breaker_calls
 from tideline.operators.cdc import MONITOR_SCHEMA
 from tideline.session import shared_dir
-from tideline.sources import catalog as ct, changes as ch, datagen as dg, sinks as sk, snapshot as sn
+from tideline.sources import catalog as ct, changes as ch, sinks as sk, snapshot as sn
 from tideline.streaming import fold as fo, stateful as stf
 
 ROW = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
@@ -69,119 +69,6 @@ def sink_mode(spark, sf):
     return ct.sink_mode(tables, _keys(spark, sf))
 
 
-# ---- growing a dataset -------------------------------------------------------
-
-
-def _extent(df, key):
-    r = df.agg(F.max(key), F.count(F.lit(1))).first()
-    return int(r[0]), int(r[1])
-
-
-@query("scale_tracks", """WITH e AS (SELECT max(p_partkey) AS m, count(*) AS n FROM part), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k, n FROM e)
-SELECT k AS "TrackId", 'Track ' || lpad(CAST(k AS VARCHAR), 6, '0') AS "Name", 1 + (k - 1) % 50 AS "AlbumId", 1 + (k - 1) % 6 AS "MediaTypeId", 1 + (k - 1) % 25 AS "GenreId",
-'Composer ' || ((k - 1) % 500) AS "Composer", 180000 + (k - 1) % 60000 AS "Milliseconds", 4000000 + (k - 1) % 900000 AS "Bytes", (79 + ((k - 1) % 15) * 21) / 100.0 AS "UnitPrice" FROM g""")
-def scale_tracks(spark, sf):
-    largest, n = _extent(table(spark, sf, "part"), "p_partkey")
-    return dg.scale_tracks(spark, largest, n, 50, 6, 25).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
-
-
-@query("scale_customers", """WITH e AS (SELECT max(c_custkey) AS m, count(*) AS n FROM customer), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k FROM e)
-SELECT k AS "CustomerId", 'First' || lpad(CAST(k AS VARCHAR), 5, '0') AS "FirstName", 'Last' || lpad(CAST(k AS VARCHAR), 5, '0') AS "LastName",
-['Los Angeles', 'Chicago', 'Toronto', 'Paris', 'Madrid', 'Rome'][k % 6 + 1] AS "City", ['USA', 'USA', 'Canada', 'France', 'Spain', 'Italy'][k % 6 + 1] AS "Country",
-CAST(20000 + k % 70000 AS VARCHAR) AS "PostalCode", '+1-666-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS "Phone", 1 + (k - 1) % 25 AS "SupportRepId" FROM g""")
-def scale_customers(spark, sf):
-    largest, n = _extent(table(spark, sf, "customer"), "c_custkey")
-    return dg.scale_customers(spark, largest, n, 25)
-
-
-@query("scale_invoices", """WITH e AS (SELECT max(o_orderkey) AS m, count(*) AS n FROM orders), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k FROM e)
-SELECT k AS "InvoiceId", 1 + (k - 1) % 1500 AS "CustomerId", strftime(DATE '2015-01-01' + CAST(k - 1 AS INTEGER), '%Y-%m-%d') AS "InvoiceDate",
-['New York', 'Seattle', 'Vancouver', 'London', 'Lisbon', 'Prague'][k % 6 + 1] AS "BillingCity", ['USA', 'USA', 'Canada', 'UK', 'Portugal', 'Czechia'][k % 6 + 1] AS "BillingCountry",
-(4000 + (k % 120) * 315) / 100.0 AS "Total" FROM g""")
-def scale_invoices(spark, sf):
-    largest, n = _extent(table(spark, sf, "orders"), "o_orderkey")
-    rows = dg.scale_invoices(spark, largest, n, 1500)
-    return rows.withColumn("InvoiceDate", F.date_format("InvoiceDate", "yyyy-MM-dd")).withColumn("Total", F.col("Total").cast("double"))
-
-
-@query("scale_invoice_lines", """WITH e AS (SELECT max(o_orderkey) AS m, count(*) AS n, (SELECT count(*) FROM lineitem) AS l FROM orders),
-g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k, m, l FROM e)
-SELECT l + (k - m - 1) * 5 + x + 1 AS "InvoiceLineId", k AS "InvoiceId", 1 + (k + x) % 2000 AS "TrackId", (79 + ((k + x) % 20) * 19) / 100.0 AS "UnitPrice",
-CAST(1 + (k + x) % 5 AS INTEGER) AS "Quantity" FROM g, range(5) t(x)""")
-def scale_invoice_lines(spark, sf):
-    largest, n = _extent(table(spark, sf, "orders"), "o_orderkey")
-    lines = table(spark, sf, "lineitem").count()
-    rows = dg.scale_invoice_lines(spark, lines, largest, n, 2000)
-    return rows.withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
-
-
-@query("scale_employees", """WITH e AS (SELECT max(s_suppkey) AS m, count(*) AS n FROM supplier), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k FROM e)
-SELECT k AS "EmployeeId", 'Lastname' || lpad(CAST(k AS VARCHAR), 5, '0') AS "LastName", CASE WHEN k % 7 = 0 THEN 'IT Manager' ELSE 'Sales Representative' END AS "Title",
-strftime(DATE '1965-01-01' + CAST(k % 18000 AS INTEGER), '%Y-%m-%d') AS "BirthDate", ['New York', 'London', 'Rio', 'Sydney', 'Berlin', 'Tokyo'][k % 6 + 1] AS "City" FROM g""")
-def scale_employees(spark, sf):
-    largest, n = _extent(table(spark, sf, "supplier"), "s_suppkey")
-    rows = dg.scale_employees(spark, largest, n)
-    return rows.select("EmployeeId", "LastName", "Title", F.date_format("BirthDate", "yyyy-MM-dd").alias("BirthDate"), "City")
-
-
-@query("scale_playlist_tracks", """WITH e AS (SELECT max(s_suppkey) AS m, count(*) AS n, (SELECT count(*) FROM part) AS t FROM supplier), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k, t FROM e)
-SELECT k AS "PlaylistId", 1 + (k + x) % t AS "TrackId" FROM g, range(5) r(x)""")
-def scale_playlist_tracks(spark, sf):
-    largest, n = _extent(table(spark, sf, "supplier"), "s_suppkey")
-    return dg.scale_playlist_tracks(spark, largest, n, table(spark, sf, "part").count())
-
-
-@query("scale_genres", """WITH e AS (SELECT max(s_suppkey) AS m, count(*) AS n FROM supplier) SELECT unnest(range(m + 1, m + 1 + n)) AS "GenreId",
-'Genre ' || lpad(CAST(unnest(range(m + 1, m + 1 + n)) AS VARCHAR), 6, '0') AS "Name" FROM e""")
-def scale_genres(spark, sf):
-    largest, n = _extent(table(spark, sf, "supplier"), "s_suppkey")
-    return dg.scale_named(spark, largest, n, "GenreId", "Genre ")
-
-
-@query("scale_albums", """WITH e AS (SELECT max(s_suppkey) AS m, count(*) AS n FROM supplier), g AS (SELECT unnest(range(m + 1, m + 1 + n)) AS k, n FROM e)
-SELECT k AS "AlbumId", 'Album ' || lpad(CAST(k AS VARCHAR), 6, '0') AS "Title", 1 + (k - 1) % n AS "ArtistId" FROM g""")
-def scale_albums(spark, sf):
-    largest, n = _extent(table(spark, sf, "supplier"), "s_suppkey")
-    return dg.scale_albums(spark, largest, n, n)
-
-
-# dimensions grow to the number of orders; the store's tables give what is there already
-SCALED = """WITH e AS (SELECT max(o_orderkey) AS io, count(*) AS no FROM orders), p AS (SELECT max(p_partkey) AS ip, count(*) AS np FROM part),
-l AS (SELECT count(*) AS nl FROM lineitem), x AS (SELECT *, 2 * no AS target, 2 * no - np AS need_t, 2 * no - no AS need_i FROM e, p, l),
-inv AS (SELECT unnest(range(io + 1, io + 1 + need_i)) AS k, io, nl, target FROM x),
-ln AS (SELECT nl + (k - io - 1) * 5 + y + 1 AS id, k AS inv, CAST((79 + ((k + y) % 20) * 19) * (1 + (k + y) % 5) AS HUGEINT) AS cents FROM inv, range(5) r(y)),
-ex AS (SELECT nl + 5 * need_i + i + 1 AS id, i, target FROM (SELECT *, unnest(range(2 * nl)) AS i FROM x)),
-ex2 AS (SELECT id, 1 + (id - 1) % target AS inv, CAST((69 + ((id + i) % 17) * 22) * (1 + (id + i) % 6) AS HUGEINT) AS cents FROM ex),
-al AS (SELECT * FROM ln UNION ALL SELECT * FROM ex2)
-SELECT 'tracks' AS name, need_t AS n, CAST(ip * need_t + need_t * (need_t + 1) // 2 AS BIGINT) AS key_sum, CAST(NULL AS DOUBLE) AS amount FROM x
-UNION ALL SELECT 'lines', count(*), CAST(sum(id) AS BIGINT), CAST(sum(cents) / 100.0 AS DOUBLE) FROM al
-UNION ALL SELECT 'invoices', (SELECT need_i FROM x), (SELECT CAST(sum(k) AS BIGINT) FROM inv), CAST(sum(cents) / 100.0 AS DOUBLE) FROM al WHERE inv IN (SELECT k FROM inv)"""
-
-
-@query("scale_dataset", SCALED)
-def scale_dataset(spark, sf):
-    orders, lines = _extent(table(spark, sf, "orders"), "o_orderkey"), table(spark, sf, "lineitem").count()
-    parts, lists = _extent(table(spark, sf, "part"), "p_partkey"), _extent(table(spark, sf, "supplier"), "s_suppkey")
-    people = _extent(table(spark, sf, "customer"), "c_custkey")
-    present = {
-        "genres": (25, 25), "media": (6, 6), "artists": (25, 25), "albums": (50, 50), "tracks": parts, "playlists": lists,
-        "employees": (24, 25), "customers": people, "invoices": orders, "lines": (lines, lines), "playlist_tracks": (lists[0], lines),
-    }
-    target = 2 * orders[1]
-    line_target = 3 * lines + 5 * (target - orders[1])
-    new = dg.scale_dataset(spark, present, target, 3 * lines, line_target)
-    line = new["lines"].select(F.col("InvoiceLineId").alias("k"), (F.col("UnitPrice") * F.col("Quantity")).alias("v"))
-    parts_of = {
-        "tracks": new["tracks"].select(F.col("TrackId").alias("k"), F.lit(None).cast("decimal(18,2)").alias("v")), "lines": line,
-        "invoices": new["invoices"].select(F.col("InvoiceId").alias("k"), F.col("Total").alias("v")),
-    }
-    sums = [
-        df.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("key_sum"), F.sum("v").cast("double").alias("amount")).select(F.lit(name).alias("name"), "*")
-        for name, df in parts_of.items()
-    ]
-    return sums[0].unionByName(sums[1]).unionByName(sums[2])
-
-
 # ---- streams -----------------------------------------------------------------
 
 
@@ -256,7 +143,7 @@ def stream_dedup(spark, sf):
     ev.unionByName(ev.filter(F.col("event_id") % 3 == 0)).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(ev.schema).parquet(f"{root}/in")
     with _local_state_partitions(spark):
-        _run(sk.append_sink(stf.stream_dedup(stream, "event_id", "ts"), f"{root}/out", f"{root}/cp"))
+        _run(sk.append_sink(stf.stream_dedup(stream, "event_id"), f"{root}/out", f"{root}/cp"))
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
 
 

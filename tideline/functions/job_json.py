@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.sql_text import _col
@@ -43,18 +45,21 @@ def job_table(json: Column | str) -> Column:
 def jobs_by_name(df: DataFrame, json: str = "json", order: str = "pos") -> DataFrame:
     """(job_name, job_id) from listings that may nest ``jobs`` lists; the last mention of a name wins.
 
-    A listing is a list of jobs, one job, or an object with a ``jobs`` list, to three levels. Each
-    listing is one row; ``order`` tells which listing came later.
+    A listing is a list of jobs, one job, or an object with a ``jobs`` list, nested to any depth. Each
+    listing is one row; ``order`` tells which listing came later. One pass counts how often "jobs"
+    occurs in a listing, which bounds the depth.
     """
     def as_items(c: Column) -> Column:
         return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
 
+    mentions = F.regexp_count(F.col(json), F.lit('"jobs"'))
+    levels = 1 + (df.agg(F.max(mentions)).first()[0] or 0)
     level = df.select(F.col(order).alias("_o"), F.posexplode(as_items(F.trim(F.col(json)))).alias("_p0", "_v0"))
     pos = ["_p0"]
     found = []
-    for depth in range(3):
+    for depth in range(levels):
         v = F.col(f"_v{depth}")
-        path = [F.col(p) for p in pos] + [F.lit(1 << 30)] * (4 - len(pos))
+        path = [F.col(p) for p in pos] + [F.lit(1 << 30)] * (levels + 1 - len(pos))
         found.append(
             level.select(
                 F.get_json_object(v, "$.jobName").alias("job_name"),
@@ -67,7 +72,7 @@ def jobs_by_name(df: DataFrame, json: str = "json", order: str = "pos") -> DataF
             "_o", *pos, F.posexplode(nested).alias(f"_p{depth + 1}", f"_v{depth + 1}")
         )
         pos.append(f"_p{depth + 1}")
-    jobs = found[0].unionByName(found[1]).unionByName(found[2])
+    jobs = reduce(DataFrame.unionByName, found)
     return (
         jobs.filter(F.col("job_name").isNotNull() & F.col("job_id").isNotNull())
         .groupBy("job_name")

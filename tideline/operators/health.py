@@ -200,8 +200,7 @@ def breaker_fold(log: DataFrame, key: str, order: list[str], ok: str, threshold:
                 if good:
                     count, until = 0, 0
                 else:
-                    # further failures change nothing, so the state stays small and slots agree soon
-                    count = min(count + 1, threshold)
+                    count += 1
                     if count >= threshold:
                         until = max(until, now + open_ms)
             refused.append(blocked)

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPLIT_ROWS = 8096
 FETCH_SIZE = 500
 # ------------------------------------------------------------------------------
-MAX_READERS = 10_000
 
 
 def plan_splits(bounds: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """lower, upper, rows -> the number of key ranges that hold about ``split_rows`` rows each."""
     wanted = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(split_rows)))
-    return bounds.withColumn("partitions", F.least(wanted, F.lit(MAX_READERS)).cast("long"))
+    return bounds.withColumn("partitions", wanted.cast("long"))
 
 
 def key_bounds(df: DataFrame, pk: str) -> DataFrame:
@@ -38,6 +37,6 @@ def snapshot_read(
     lo, hi, n = reader.option("dbtable", query).load().first()
     if not n:
         return reader.option("dbtable", table).load()
-    parts = min(max(1, -(-n // split_rows)), MAX_READERS)
+    parts = max(1, -(-n // split_rows))
     ranges = {"partitionColumn": pk, "lowerBound": str(lo), "upperBound": str(hi), "numPartitions": str(parts)}
     return reader.options(dbtable=table, **ranges).load()

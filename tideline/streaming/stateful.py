@@ -23,9 +23,13 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def stream_dedup(stream: DataFrame, id_col: str, ts: str, within: str = "120 seconds") -> DataFrame:
-    """Drop repeated message ids that arrive within the window; older ids leave the state."""
-    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([id_col])
+def stream_dedup(stream: DataFrame, id_col: str, within: str = "120 seconds") -> DataFrame:
+    """Drop message ids that were seen before within the window; older ids leave the state.
+
+    The window is over the time of arrival, so a message that is sent late but for the first time stays.
+    """
+    arrived = stream.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", within)
+    return arrived.dropDuplicatesWithinWatermark([id_col]).drop("__arrived")
 
 
 class _Ordered(StatefulProcessor):
