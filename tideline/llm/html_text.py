@@ -245,7 +245,7 @@ comment comments reply respond disqus pagination pager tags toolbar skip legal d
 _HOLDERS = ["<article data-y=1>{}</article>", "<main data-y=1>{}</main>", '<div class="content" data-y=1>{}</div>', '<div id="article-body" data-y=1>{}</div>', '<div class="post entry" data-y=1>{}</div>', '<section class="story text" data-y=1>{}</section>', '<div id="main" data-y=1>{}</div>', "<main><article data-y=1>{}</article></main>", '<div class="wrapper container page" ><article data-y=1>{}</article></div>']
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
     """Pages put together from labelled parts (data-y) in many layouts."""
     rng = random.Random(seed)
 
@@ -267,7 +267,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
 
     out = []
     for _ in range(n):
-        body = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
+        body = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.6 else []
         body += [inside() for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6, 9]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), outside())
