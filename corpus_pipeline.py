@@ -16,8 +16,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that a tenth of their source's documents hold; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """All documents, without lines that a tenth of their source's different documents hold; copies are left to the next stage. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, copies_once=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
