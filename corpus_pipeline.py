@@ -33,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, placed in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=True)
 
 
 STAGES = [("language_id", keep_known_language), ("line_dedup", drop_boilerplate), ("jaccard_join", one_of_each_group), ("decontaminate", drop_leaks), ("packing", pack)]

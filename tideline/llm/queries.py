@@ -104,7 +104,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), added=True)
 
 
 @query("op8_suffix_dedup")
