@@ -85,11 +85,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, dictionaries: int = DICTIONARIES, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Dictionaries from at most sample_rows x sample_chars of each language, chosen by the hash of the text.
 
-    Rows without language or letters teach nothing. A task passes on at most sample_rows a language, so a common language is no
-    hot task. No rows give a model without languages, which predicts `und` for all.
+    Rows without language or letters teach nothing, and copies of a text count once. A task passes on each text's hash once and at
+    most sample_rows a language, so a common language or text is no hot task. No rows give a model without languages, which predicts `und` for all.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).withColumn("piece", F.substring("text", 1, sample_chars)).drop("text")
-    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("r") <= sample_rows)
+    first = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
+    chosen = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "r").agg(F.min("piece").alias("piece"))  # bounded: sample_rows a language
     made: dict[str, list[list[bytes]]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["r"])):  # bounded: sample_rows x sample_chars a language
         parts = made.setdefault(r["lang"], [[] for _ in range(dictionaries)])
