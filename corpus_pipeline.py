@@ -27,8 +27,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents without a passage of the benchmark, of items without id too."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), null_ids=True).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

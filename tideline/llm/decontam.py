@@ -57,23 +57,28 @@ def _with_windows(rows: DataFrame, sizes: list[int], all_name: str) -> DataFrame
     return rows.withColumn(all_name, F.concat(F.array(F.lit(_MARK).cast("long")), *(F.col(f"w{s}") for s in sizes))).drop(*(f"w{m}" for m in made))
 
 
-def windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
-    """gram (words), size, items: the distinct windows of n words of the items; an item of fewer is one window."""
-    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+def windows(items: DataFrame, item_id: str, text: str, n: int, null_ids: bool = False) -> DataFrame:
+    """gram (words), size, items: the distinct windows of n words of the items; an item of fewer is one window.
+
+    Items without id have windows with null_ids only, and are named in no list.
+    """
+    rows = items if null_ids else items.where(F.col(item_id).isNotNull())
+    rows = rows.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
     rows = rows.withColumn("size", F.least(F.lit(n), F.size("ws")))
     rows = rows.select("item", "size", F.explode(F.expr("transform(sequence(1, size(ws) - size + 1), i -> slice(ws, i, size))")).alias("gram"))
     rows = rows.groupBy("gram", "size").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return rows
 
 
-def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, null_ids: bool = False) -> DataFrame:
     """doc_id, text_hash, copies, n_words, hits (start, size in words), items: one row per distinct (doc_id, text).
 
     Every window of a text is hashed, hashes are looked up in the broadcast set of item windows, and a found window is compared
     word by word. The text is read once and only hits and one mark per document are shuffled. The set is broadcast when its
-    counted size allows, else joined by a shuffle. Null and empty texts have no words; items without words or id have no windows.
+    counted size allows, else joined by a shuffle. Null and empty texts have no words; items without words have no windows, and items without id
+    have some with null_ids only.
     """
-    grams = stored(windows(items, item_id, item_text, n), "grams")
+    grams = stored(windows(items, item_id, item_text, n, null_ids), "grams")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # at most n numbers
     own_hash = F.element_at("all", F.array_position(F.array(*map(F.lit, sizes or [0])), F.col("size")).cast("int") * F.col("size") - F.col("size") + 2)
     grams = _with_windows(grams.withColumn("ws", F.col("gram")), sizes, "all").select("gram", "size", "items", own_hash.alias("h"))
@@ -116,15 +121,15 @@ def report(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", n: int = N, null_ids: bool = False) -> DataFrame:
     """docs without contaminated documents, or with the hit words (and what parts them from the next word) cut out of `text`.
 
     remove is `documents` or `spans`. All columns stay as they are, rows without hits untouched; a null text has no hits. A text
-    that is all hits becomes what stands before its first word.
+    that is all hits becomes what stands before its first word. Items without id count with null_ids only.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    bad = find_hits(docs, items, doc_id=doc_id, text=text, n=n).where(F.size("hits") > 0)
+    bad = find_hits(docs, items, doc_id=doc_id, text=text, n=n, null_ids=null_ids).where(F.size("hits") > 0)
     bad = stored(bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits")), "hits")
     size = bad.agg(F.coalesce(F.sum(F.size("__hits") * 16 + 64), F.lit(0))).first()[0]
     bad = broadcast_if_small(bad, 0 if size <= 32_000_000 else 2**40)
