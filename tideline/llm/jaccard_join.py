@@ -6,6 +6,7 @@ union of its sets' tokens, which bounds the overlap of any set with any member,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,14 @@ from tideline.llm.common import broadcast_if_small, components, stored
 from tideline.llm.shingles import blocks, mix, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
-#: percent of a set's smallest hashes looked at first
+#: percent of a set's smallest hashes looked at first, at least
 FIRST = 30
 #: texts looked at for tokens so common that they need no search, and in how many of these they are
 SAMPLE_TEXTS, SAMPLE_HITS = 2000, 3
 #: bytes and sets of a group
 GROUP_BYTES, GROUP_SETS = 4_000_000, 2048
+#: base of the size steps of a large family's groups
+STEP = 1.05
 #: tokens that one task counts
 TASK_TOKENS = 1_500_000
 _COMMON = 2**31 - 1
@@ -220,6 +223,11 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
+def _reach(percent: int) -> int:
+    """How many size steps two sets that link may lie apart: neither has more than 100 / percent of the other's size."""
+    return math.floor(math.log(100 / percent) / math.log(STEP) + 1e-9) + 1
+
+
 def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links between sets (class, n, tokens, lead) that span all links.
 
@@ -230,7 +238,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     lead = sets.select("class", F.explode("lead").alias("token"))
     first = lead.groupBy("token").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b <> most")
     family = stored(components(lead.join(first, "token").select(F.col("class").alias("a"), "b").distinct()).withColumnRenamed("node", "class"), "families")
-    sets = sets.drop("lead").join(family, "class").withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int"))
+    sets = sets.drop("lead").join(family, "class").withColumn("step", F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int"))
     sets = stored(sets, "sets")
     weight = lambda n, b: F.ceil(F.greatest(F.count("*") / n, F.sum(F.length("tokens")) / b)).cast("int")
     big = sets.groupBy("component").agg(weight(GROUP_SETS, GROUP_BYTES).alias("g")).where("g > 1").select("component")
@@ -273,7 +281,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     packed = stored(rows.join(cut.select("component").distinct(), "component").groupBy("component", "step", "part").agg(F.collect_list(F.struct("class", "n", "tokens")).alias("members")), "groups")
     other = packed.select(F.col("component").alias("c2"), F.col("step").alias("s2"), F.col("part").alias("p2"), F.col("members").alias("others"))
     pairs = packed.join(other, F.col("component") == F.col("c2")).where(
-        ((F.col("step") < F.col("s2")) | ((F.col("step") == F.col("s2")) & (F.col("part") < F.col("p2")))) & (F.col("s2") <= F.col("step") + 6)
+        ((F.col("step") < F.col("s2")) | ((F.col("step") == F.col("s2")) & (F.col("part") < F.col("p2")))) & (F.col("s2") <= F.col("step") + _reach(percent))
     )
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +326,14 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     seen = _tokens(part, width, 100, None).where("df = 0").groupBy("token").agg(F.countDistinct("class").alias("n")).where(F.col("n") >= SAMPLE_HITS)
     common = np.sort(np.array([r[0] for r in seen.select("token").collect()], np.int64).view(np.uint64))  # bounded by the sample
 
-    some = _tokens(one_each, width, FIRST, common)
-    counted = _shared(some, total * FIRST // 100, True)
+    look = max(FIRST, 100 - percent)
+    some = _tokens(one_each, width, look, common)
+    counted = _shared(some, total * look // 100, True)
     marks = some.where("df <> 0").groupBy("class").agg(F.sum(F.when(F.col("df") == _COMMON, 1).otherwise(0)).alias("n"), F.max(F.when(F.col("df") < 0, -F.col("df"))).alias("size"))
     counted = counted.groupBy("class").agg(F.count("*").alias("more"))
-    # A set looks at FIRST percent + 1 tokens, of which a partner lacks at most 100 - percent percent of the set. Of two partners,
+    # A set looks at `look` percent + 1 tokens, of which a partner lacks at most 100 - percent percent of the set. Of two partners,
     # the one that looks less far shares all the rest with the other's first tokens, and it has percent of the other's size at least.
-    least = F.expr(f"({FIRST - 100 + percent} * ((size * {percent} + 99) div 100)) div 100 + 1")
+    least = F.expr(f"({look - 100 + percent} * ((size * {percent} + 99) div 100)) div 100 + 1")
     suspects = marks.join(counted, "class", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) >= least).select(F.col("class").alias("c"))
     suspects = stored(suspects, "suspects")
 
