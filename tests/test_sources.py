@@ -39,7 +39,7 @@ class Session:
         self.read = Reader(bounds)
 
 
-@pytest.mark.parametrize("rows, parts", [(1, 1), (8096, 1), (8097, 2), (80_960, 10), (10**9, 10_000)])
+@pytest.mark.parametrize("rows, parts", [(1, 1), (8096, 1), (8097, 2), (80_960, 10), (10**9, 123_518)])
 def test_key_ranges(rows, parts):
     got = sn.snapshot_read(Session((5, 99, rows)), "shop.orders", "id", jdbc={"url": "jdbc:x"}).opts
     assert got["numPartitions"] == str(parts) and got["lowerBound"] == "5" and got["upperBound"] == "99"
