@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontam, html_text, jaccard_join, lang_id, line_dedup, masked_lm, packing, shard_tree, suffix_dedup, topk
+from tideline.llm import best_fit, decontam, html_text, jaccard_join, lang_id, line_dedup, masked_lm, packing, shard_tree, suffix_dedup, topk
 from tideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return masked_lm.score(docs, masked_lm.train(docs)).drop("text")
+
+
+@query("op11_best_fit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_windows(table(spark, sf_dir, "documents"))
