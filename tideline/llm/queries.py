@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import best_fit, decontam, html_text, jaccard_join, lang_id, line_dedup, masked_lm, packing, shard_tree, spelling, suffix_dedup, topk
+from tideline.llm import best_fit, decontam, html_text, jaccard_join, lang_id, line_dedup, masked_lm, packing, prefix_trie, shard_tree, spelling, suffix_dedup, topk
 from tideline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(spelling.run_counts(table(spark, sf_dir, "documents")))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
