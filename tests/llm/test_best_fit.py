@@ -68,7 +68,7 @@ def test_filling_up_keeps_every_token(seed):
 def test_ids_are_those_of_the_library():
     rng = random.Random(11)
     encode, own = bpe.encoder(), library()
-    pieces = [*"ab 'sé\n\t 1!  _", " <|endoftext|>", "'s", " \x1c", "　", "​", "\x85", "\r\n", " the"]
+    pieces = [*"ab 'sé\n\t 1!  _", "\n\n", ". ", "\n", " <|endoftext|>", "'s", " \x1c", "　", "​", "\x85", "\r\n", " the"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", "x" * 5000, "word " * 3000, "w\n" * 3000]
     for text, ids in zip(texts, encode.encode(texts), strict=True):
         assert np.frombuffer(ids, f"<u{encode.width}").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
