@@ -234,14 +234,16 @@ def _box_words(length: int, box_words: int) -> int:
 
 
 def _trees(words: DataFrame, box_words: int) -> dict[int, Node]:
-    """Cuts for the lengths that need more than one box, from at most SAMPLE_WORDS words: they only balance the boxes."""
+    """Cuts for the lengths that need more than one box, from about SAMPLE_WORDS words, thinned by hash before they are sent: they
+    only balance the boxes."""
     room = F.greatest(F.lit(1), F.least(F.lit(box_words), F.floor(F.lit(BOX_LETTERS) / F.greatest(F.col("length"), F.lit(1)))))
     many = words.groupBy("length").agg(F.count("*").alias("n")).where(F.col("n") > room)
     large = {r["length"]: -(-r["n"] // _box_words(r["length"], box_words)) for r in many.orderBy(F.desc("n")).limit(SAMPLE_WORDS).collect()}
     if not large:
         return {}
     sample = defaultdict(list)
-    picked = words.where(F.col("length") <= BOX_LETTERS // 8).select("word", "length").orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS)
+    short = words.where(F.col("length") <= BOX_LETTERS // 8).select("word", "length")
+    picked = short.where(F.pmod(F.xxhash64("word"), F.lit(max(1, words.count() // SAMPLE_WORDS))) == 0).limit(4 * SAMPLE_WORDS)
     for r in picked.collect():
         if r["length"] in large:
             sample[r["length"]].append(r["word"])
