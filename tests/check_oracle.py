@@ -18,8 +18,8 @@ def main() -> None:
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("HOT"):  # treat keys above this many rows as hot
-        spark.conf.set("tideline.hot.minRows", os.environ["HOT"])
+    if os.environ.get("HOT"):  # rows of a slice
+        spark.conf.set("tideline.slice.rows", os.environ["HOT"])
     con = connect(sf)
     queries, oracles = all_queries(), all_oracles()
     names = [n for n in queries if not sys.argv[1:] or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in sys.argv[1:])]

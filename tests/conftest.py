@@ -23,7 +23,7 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Treats every key above 60 rows as hot, so the slotted paths run on small data."""
-    spark.conf.set("tideline.hot.minRows", "60")
+    """Slices of about 60 rows, so that keys cross them on small data."""
+    spark.conf.set("tideline.slice.rows", "60")
     yield spark
-    spark.conf.unset("tideline.hot.minRows")
+    spark.conf.unset("tideline.slice.rows")

@@ -1,4 +1,4 @@
-"""The slotted paths must give what the plain ones give."""
+"""Groups that cross slices must give what whole groups give."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tests.conftest import SMALL
 from tests.oracle import connect, difference
 from tideline.catalogue import all_oracles, all_queries
 from tideline.operators import health
-from tideline.operators.ordered import hot_slots, numbered, previous
+from tideline.operators.ordered import numbered, previous, sliced
 
 NAMES = [
     "result_blocks", "insert_rows", "latency_percentiles", "speedup", "ewma_per_statement", "dirty_transaction",
@@ -26,7 +26,7 @@ def con():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_slotted_equals_sql(hot, con, name):
+def test_sliced_equals_sql(hot, con, name):
     diff = difference(all_queries()[name](hot, SMALL), con, all_oracles()[name])
     assert diff is None, diff
 
@@ -44,13 +44,13 @@ def skewed(spark, n=3000, seed=5):
 
 def test_hot_key_is_cut_evenly(hot):
     rows, df = skewed(hot)
-    hot.conf.set("tideline.hot.minRows", "200")
-    s = hot_slots(df, ["key"], ["ts", "id"])
-    assert s.hot
-    sizes = {(r["key"], r["_slot"]): r["count"] for r in s.df.groupBy("key", "_slot").count().collect()}
-    assert sum(sizes.values()) == len(rows)
-    assert max(n for (k, _), n in sizes.items() if k == "hot") < 500
-    assert all(slot == 0 for (k, slot) in sizes if k != "hot")
+    hot.conf.set("tideline.slice.rows", "200")
+    s = sliced(df, ["key"], ["ts", "id"])
+    found = s.df.groupBy("_slice").agg(F.count("*").alias("n"), F.min(F.struct("key", "ts", "id")).alias("a"), F.max(F.struct("key", "ts", "id")).alias("b")).orderBy("_slice").collect()
+    assert sum(r["n"] for r in found) == len(rows) and len(found) == s.slices >= 10
+    assert max(r["n"] for r in found) < 500
+    place = lambda r: tuple((v is not None, v) for v in r)
+    assert all(place(x["b"]) < place(y["a"]) for x, y in zip(found, found[1:]))
 
 
 def test_numbered_and_previous(hot):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tideline.operators.machine import Machine
 from tideline.operators.ordered import ordered_fold, running, top_n_per_group
 
 # --- fixed values -------------------------------------------------------------
@@ -64,7 +65,7 @@ def cdc_state_machine(events: DataFrame, key: str, order: list[str], event: str
 
     Starts and failures set the state whatever it was, so only what happened since the last of them
     counts: running maxima give its place and whether a close or a checkpoint followed. That makes the
-    machine a window query, cut into slots for hot tables.
+    machine a window query, slice by slice for tables of any size.
     """
     kind = (
         F.when(F.col(event).isin(START_EVENTS), "start")
@@ -166,8 +167,30 @@ def monitor_row(s: dict, published: bool) -> tuple:
     return s["state"], s["state"] == IDLE, s["last_event"], s["update"], published
 
 
+class Monitor(Machine):
+    """:func:`monitor_step` over rows with ``kept`` columns."""
+
+    columns = ["ts", "kind", "event_type", "source_received", "sink_written"]
+    categories = {"state": [None, SNAPSHOT, SYNCING, IDLE, FAILED]}
+    seen = {r: ("ts", False) for r in ("last_event", "update", "sync_start", "published")}
+    seen["prev_source"] = ("CASE WHEN kind = 'tick' THEN source_received END", True)
+    seen["sink_mark"] = ("CASE WHEN kind = 'tick' THEN sink_written END", False)
+
+    def __init__(self, kept: list[str], compat: bool) -> None:
+        self.kept, self.compat = kept, compat
+
+    def start(self) -> dict:
+        return new_monitor_state()
+
+    def advance(self, state: dict, record: dict) -> tuple:
+        return monitor_row(state, monitor_step(state, record, self.compat))
+
+    def output(self, rows: pd.DataFrame, shown: list[tuple]) -> pd.DataFrame:
+        return pd.concat([rows[self.kept].reset_index(drop=True), pd.DataFrame(shown, columns=MONITOR_SCHEMA.names)], axis=1)
+
+
 def monitor_fold(records: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False):
-    """(rows, step, schema) of the monitor, for the batch and the streaming fold."""
+    """(rows, machine, schema) of the monitor, for the batch and the streaming fold."""
     wanted = {"kind": "string", "event_type": "string", "source_received": "bigint", "sink_written": "bigint"}
     for c, t in wanted.items():
         if c not in records.columns:
@@ -175,25 +198,13 @@ def monitor_fold(records: DataFrame, key: str, order: list[str] = ("ts", "seq"),
     counts = {"source_received", "sink_written"}
     narrow = records.select(key, *order, *[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in wanted])
     kept = [key, *order, "kind"]
-    out_schema = T.StructType([*[narrow.schema[c] for c in kept], *MONITOR_SCHEMA.fields])
-    names = MONITOR_SCHEMA.names
-
-    def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        s = state or new_monitor_state()
-        cols = ["ts", *wanted]
-        out = []
-        for values in zip(*[rows[c].tolist() for c in cols]):
-            published = monitor_step(s, dict(zip(cols, values)), compat)
-            out.append(monitor_row(s, published))
-        return s, pd.concat([rows[kept].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    return narrow, step, out_schema
+    return narrow, Monitor(kept, compat), T.StructType([*[narrow.schema[c] for c in kept], *MONITOR_SCHEMA.fields])
 
 
 def sync_monitor(records: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False) -> DataFrame:
     """State of each table after each record (events, metric ticks and write marks in one feed)."""
-    narrow, step, out_schema = monitor_fold(records, key, order, compat)
-    return ordered_fold(narrow, [key], list(order), step, out_schema)
+    narrow, machine, out_schema = monitor_fold(records, key, order, compat)
+    return ordered_fold(narrow, [key], list(order), machine, out_schema)
 
 
 def idle_detector(metrics: DataFrame, key: str, order: list[str] = ("ts", "seq"), compat: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tideline.operators.machine import Machine
 from tideline.operators.ordered import exact_quantiles, ordered_fold, running
 
 # --- fixed values -------------------------------------------------------------
@@ -124,7 +125,7 @@ def ewma_per_statement(
 
     The recurrence is linear, so the last average is a weighted sum: a row ``r`` places from the end
     weighs decay^(r-1) / (w + 1), the first row decay^(n-1). Weights only shrink (to 0 on long series),
-    nothing is divided by them. A sum combines map-side, and the places come from slotted windows, so
+    nothing is divided by them. A sum combines map-side, and the places come from sliced windows, so
     one statement may own any share of the log.
     """
     decay, gain = w / (w + 1), 1 / (w + 1)
@@ -174,13 +175,35 @@ def failure_breaker(
     ``threshold`` failures without a success in between open it for ``open_ms``: calls up to and at the
     end are refused and do not count. After that one more failure opens it again; a success clears it.
     """
-    narrow, step, out_schema = breaker_fold(log, key, order, ok, threshold, open_ms)
-    return ordered_fold(narrow, [key], order, step, out_schema)
+    narrow, machine, out_schema = breaker_fold(log, key, order, ok, threshold, open_ms)
+    return ordered_fold(narrow, [key], order, machine, out_schema)
+
+
+class Breaker(Machine):
+    def __init__(self, key: str, order: list[str], threshold: int, open_ms: int) -> None:
+        self.columns, self.kept, self.threshold, self.open_ms = [order[0], "_ok"], [key, *order], threshold, open_ms
+        self.seen = {"until": (f"`{order[0]}` + {open_ms}", False)}
+
+    def start(self) -> dict:
+        return {"n": 0, "until": 0}
+
+    def advance(self, state: dict, record: dict) -> tuple:
+        now, good = (record[c] for c in self.columns)
+        refused = state["n"] >= self.threshold and state["until"] >= now
+        if not refused and good:
+            state["n"], state["until"] = 0, 0
+        elif not refused:
+            state["n"] += 1
+            if state["n"] >= self.threshold and state["until"] < now + self.open_ms:
+                state["until"] = now + self.open_ms
+        return refused, state["n"], state["until"]
+
+    def output(self, rows: pd.DataFrame, shown: list[tuple]) -> pd.DataFrame:
+        return pd.concat([rows[self.kept].reset_index(drop=True), pd.DataFrame(shown, columns=["refused", "failures", "open_until"])], axis=1)
 
 
 def breaker_fold(log: DataFrame, key: str, order: list[str], ok: str, threshold: int = 3, open_ms: int = 60_000):
-    """(rows, step, schema) of the breaker, for the batch and the streaming fold."""
-    ts, tie = order[0], order[1:]
+    """(rows, machine, schema) of the breaker, for the batch and the streaming fold."""
     narrow = log.select(key, *order, F.col(ok).cast("boolean").alias("_ok"))
     out_schema = T.StructType(
         [
@@ -190,23 +213,4 @@ def breaker_fold(log: DataFrame, key: str, order: list[str], ok: str, threshold:
             T.StructField("open_until", T.LongType()),
         ]
     )
-
-    def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        count, until = (state["n"], state["until"]) if state else (0, 0)
-        refused, failures, opened = [], [], []
-        for now, good in zip(rows[ts].tolist(), rows["_ok"].tolist()):
-            blocked = count >= threshold and now <= until
-            if not blocked:
-                if good:
-                    count, until = 0, 0
-                else:
-                    count += 1
-                    if count >= threshold:
-                        until = max(until, now + open_ms)
-            refused.append(blocked)
-            failures.append(count)
-            opened.append(until)
-        out = rows[[key, ts, *tie]].assign(refused=refused, failures=failures, open_until=opened)
-        return {"n": count, "until": until}, out
-
-    return narrow, step, out_schema
+    return narrow, Breaker(key, list(order), threshold, open_ms), out_schema

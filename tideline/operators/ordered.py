@@ -1,38 +1,44 @@
 """Ordered work inside groups of any size.
 
-A window over a group that holds a third of all rows would run in one task. Here such groups ("hot" keys)
-are cut into slots along their order, each slot is worked on by itself, and what a slot needs from the
-slots before it is a small carried value. Groups of ordinary size keep the plain window.
+A window over a group that holds a third of all rows would run in one task. Here rows are dealt by range of (key, order), so a
+group of any size is a run of neighbouring slices of about equal size and small groups share one. Each slice is worked on by
+itself; what it needs from the slices before it is a small carried value. Only a group that crosses the border of two slices has
+one, and a border is crossed by one group at most, so there are fewer carried rows than slices, whatever the data.
 
-Cut points come from a bounded sample and only balance the slots; results do not depend on them.
-They are fixed before the query runs, so a task that is run again sees the same slots.
+The slices are written once, with their numbers: a task that runs again, and every later step, sees the same ones.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tideline.session import checkpointed
+from tideline.operators.machine import Machine, TransitionTable, apply_table
+from tideline.session import stored
 
-MIN_ROWS_KEY = "tideline.hot.minRows"
-SLOTS_KEY = "tideline.hot.slots"
-MIN_ROWS_DEFAULT = 1_000_000
-SLOTS_DEFAULT = 1000
-SAMPLE_PER_CUT = 30
-SLOT = "_slot"
+#: rows of a slice
+ROWS_KEY, ROWS_DEFAULT = "tideline.slice.rows", 1_000_000
+#: carried rows that are sent to all executors: one per slice at most, of the keys and a value each
+BROADCAST_SLICES = 100_000
+SLICE = "_slice"
 
 
 @dataclass
-class Slotted:
+class Sliced:
+    """Rows with ``_slice``, ascending along (keys, order), and how many slices there are."""
+
     df: DataFrame
-    hot: bool
+    slices: int
+
+    def small(self, per_slice: DataFrame) -> DataFrame:
+        """A table of at most one row per slice, broadcast as long as that is a bounded size."""
+        return F.broadcast(per_slice) if self.slices <= BROADCAST_SLICES else per_slice
 
 
 def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -42,68 +48,53 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def _hashable(v):
-    return tuple(_hashable(x) for x in v) if isinstance(v, (list, tuple)) else v
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> Sliced:
+    """The rows in slices of at most about ``tideline.slice.rows``.
 
+    The session's shuffle partitions are tried first, which adaptive execution may join; only where they come out too large are
+    the written rows dealt again, into as many slices as the target asks for. Rows equal in keys and order stay together.
+    """
+    rows = int(df.sparkSession.conf.get(ROWS_KEY, str(ROWS_DEFAULT)))
+    by = [*keys, *order]
 
-def _settings(df: DataFrame) -> tuple[int, int]:
-    conf = df.sparkSession.conf
-    return int(conf.get(MIN_ROWS_KEY, str(MIN_ROWS_DEFAULT))), int(conf.get(SLOTS_KEY, str(SLOTS_DEFAULT)))
+    def write(d: DataFrame, *n: int) -> tuple[DataFrame, int, int, int]:
+        out = stored(d.repartitionByRange(*n, *by).withColumn(SLICE, F.spark_partition_id()), "slices")
+        sizes = out.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"))
+        return out, *sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
+    out, most, total, slices = write(df)
+    if most > 2 * rows:
+        out, most, total, slices = write(out.drop(SLICE), math.ceil(total / rows))
+    return Sliced(out, slices)
 
-def hot_slots(df: DataFrame, keys: list[str], order: list[str]) -> Slotted:
-    """Add ``_slot``: 0 for ordinary keys, the position among the cut points for hot ones.
 
-    A key is hot above max(minRows, total / slots) rows, so at most ``slots`` keys are hot and at most
-    2 * ``slots`` cut points exist; both lists are small whatever the data size.
-    """
-    spark = df.sparkSession
-    min_rows, slots = _settings(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # the largest keys first: every key above total / slots is among them
-    big = sizes.filter(F.col("_n") > min_rows).orderBy(F.desc("_n")).limit(slots).collect()
-    total = df.count() if big else 0
-    big = [r for r in big if r["_n"] > total / slots]
-    if not big:
-        return Slotted(df.withColumn(SLOT, F.lit(0)), False)
-
-    limit = max(min_rows, total / slots)
-    cuts_of = {tuple(_hashable(r[k]) for k in keys): math.ceil(r["_n"] / limit) for r in big}
-    hot_rows = sum(r["_n"] for r in big)
-    want = SAMPLE_PER_CUT * sum(cuts_of.values())
-    key_schema = T.StructType([df.schema[k] for k in keys])
-    order_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-
-    def flagged(d: DataFrame) -> DataFrame:
-        if not keys:
-            return d
-        hot = F.broadcast(spark.createDataFrame([k for k in cuts_of], key_schema))
-        return d.join(hot, _same(d, hot, keys), "left_semi")
-
-    fraction = min(1.0, 1.5 * want / hot_rows)
-    narrow = df.select(*keys, F.struct(*order).alias("_at"))
-    seen: dict[tuple, list] = {k: [] for k in cuts_of}
-    sampled = flagged(narrow).sample(fraction=fraction, seed=7).limit(4 * want + 1000)
-    for r in sampled.collect():
-        seen[tuple(_hashable(r[k]) for k in keys)].append(tuple(r["_at"]))
-
-    def rank(t: tuple) -> tuple:
-        return tuple((v is not None, v) for v in t)
-
-    rows = []
-    for key, points in seen.items():
-        points = sorted(set(points), key=rank)
-        n = cuts_of[key]
-        picked = {points[len(points) * i // n] for i in range(1, n)} if points else set()
-        rows.append((*key, sorted(picked, key=rank)))
-    schema = T.StructType([*key_schema.fields, T.StructField("_cuts", T.ArrayType(order_type))])
-    cuts = F.broadcast(spark.createDataFrame(rows, schema))
-    joined = df.join(cuts, _same(df, cuts, keys), "left")
-    here = F.struct(*[df[c].alias(c) for c in order])
-    slot = F.when(F.col("_cuts").isNull(), 0).otherwise(
-        F.size(F.filter("_cuts", lambda c: c < here)) + 1  # slots of hot keys start at 1
+def _spans(s: Sliced, keys: list[str]) -> DataFrame:
+    """Keys that lie in more than one slice, with the first and last of them: fewer rows than slices."""
+    found = s.df.groupBy(*keys).agg(F.min(SLICE).alias("_lo"), F.max(SLICE).alias("_hi")).filter("_lo < _hi")
+    return found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi")
+
+
+def _of_keys(d: DataFrame, spans: DataFrame, keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & d[k].eqNullSafe(spans[f"_k_{k}"])
+    return cond
+
+
+def _carried(s: Sliced, keys: list[str], values: dict[str, tuple], descending: bool = False) -> DataFrame:
+    """(_k_ keys, _k_slice, _c_ values): per slice of a crossing key, the values over all slices before it. ``values``: name ->
+    (aggregate, column)."""
+    spans = s.small(_spans(s, keys))
+    inside = s.df.join(spans, _of_keys(s.df, spans, keys))
+    sums = inside.groupBy(*keys, SLICE).agg(*[how(c).alias(f"_v_{n}") for n, (how, c) in values.items()])
+    w = W.partitionBy(*keys).orderBy(F.col(SLICE).desc() if descending else F.col(SLICE).asc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col(SLICE).alias("_k_slice"),
+        *[how(f"_v_{n}").over(w).alias(f"_c_{n}") for n, (how, _) in values.items()],
+        F.count(F.lit(1)).over(w).alias("_before"),
     )
-    return Slotted(joined.select(*[df[c] for c in df.columns], slot.cast("int").alias(SLOT)), True)
+    return s.small(carried.filter("_before > 0").drop("_before"))
 
 
 def running(
@@ -113,24 +104,22 @@ def running(
     specs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     descending: bool = False,
-    slotted: Slotted | None = None,
+    slices: Sliced | None = None,
 ) -> DataFrame:
-    """Running sum / count / max / min per key along ``order``, with hot keys cut into slots.
+    """Running sum / count / max / min per key along ``order``, slice by slice.
 
     ``inclusive=False`` leaves the row itself out. ``order`` must be unique inside a key, or ties must
-    not matter to the caller.
+    not matter to the caller. ``slices`` are those of ``df`` where the caller has them already.
     """
-    s = slotted or hot_slots(df, keys, order)
+    s = slices or sliced(df, keys, order)
     how = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
-    s_df = s.df
+    d = s.df
     for name, (kind, expr) in specs.items():
         value = F.when(expr.isNotNull(), F.lit(1)).otherwise(F.lit(0)) if kind == "count" else expr
-        s_df = s_df.withColumn(f"_v_{name}", value)
+        d = d.withColumn(f"_v_{name}", value)
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    last = 0 if inclusive else -1
-    w = W.partitionBy(*keys, SLOT) if s.hot else W.partitionBy(*keys)
-    w = w.orderBy(*direction).rowsBetween(W.unboundedPreceding, last)
-    local = s_df.select("*", *[how[k](f"_v_{n}").over(w).alias(f"_l_{n}") for n, (k, _) in specs.items()])
+    w = W.partitionBy(*keys, SLICE).orderBy(*direction).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    local = d.select("*", *[how[k](f"_v_{n}").over(w).alias(f"_l_{n}") for n, (k, _) in specs.items()])
 
     def final(n: str, k: str, carry: Column | None) -> Column:
         mine = F.col(f"_l_{n}")
@@ -141,26 +130,10 @@ def running(
                 mine = F.greatest(mine, carry) if k == "max" else F.least(mine, carry)
         return F.coalesce(mine, F.lit(0)) if k == "count" else mine
 
-    if not s.hot:
+    if s.slices <= 1:  # no border
         return local.select(*df.columns, *[final(n, k, None).alias(n) for n, (k, _) in specs.items()])
-
-    # one row per slot of a hot key: at most 2 * slots rows
-    sums = s_df.filter(F.col(SLOT) > 0).groupBy(*keys, SLOT).agg(
-        *[how[k](f"_v_{n}").alias(f"_v_{n}") for n, (k, _) in specs.items()]
-    )
-    cw = W.partitionBy(*keys).orderBy(F.col(SLOT).desc() if descending else F.col(SLOT).asc())
-    cw = cw.rowsBetween(W.unboundedPreceding, -1)
-    carry = F.broadcast(
-        sums.select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col(SLOT).alias("_k_slot"),
-            *[how[k](f"_v_{n}").over(cw).alias(f"_c_{n}") for n, (k, _) in specs.items()],
-        )
-    )
-    cond = local[SLOT] == carry["_k_slot"]
-    for k in keys:
-        cond = cond & local[k].eqNullSafe(carry[f"_k_{k}"])
-    out = local.join(carry, cond, "left")
+    carry = _carried(Sliced(d, s.slices), keys, {n: (how[k], F.col(f"_v_{n}")) for n, (k, _) in specs.items()}, descending)
+    out = local.join(carry, (local[SLICE] == carry["_k_slice"]) & _of_keys(local, carry, keys), "left")
     return out.select(
         *[local[c] for c in df.columns],
         *[final(n, k, F.col(f"_c_{n}")).alias(n) for n, (k, _) in specs.items()],
@@ -173,14 +146,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """Values of the row before. With hot keys: the running maximum of (order, values) over the rows before."""
-    s = hot_slots(df, keys, order)
-    if not s.hot:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
-    packed = F.struct(*order, *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    out = running(df, keys, order, {"_prev": ("max", packed)}, inclusive=False, slotted=s)
-    return out.select(*df.columns, *[F.col(f"_prev.{prefix}{c}").alias(f"{prefix}{c}") for c in cols])
+    """Values of the row before: inside a slice the row above, for its first row the last row of the slice before."""
+    s = sliced(df, keys, order)
+    w = W.partitionBy(*keys, SLICE).orderBy(*order)
+    if s.slices <= 1:
+        return s.df.select(*df.columns, *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols])
+    local = s.df.select("*", *[F.lag(c).over(w).alias(f"_l_{c}") for c in cols], F.row_number().over(w).alias("_place"))
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"_p_{c}") for c in cols])
+    carry = _carried(s, keys, {"last": (F.max, packed)})
+    out = local.join(carry, (local[SLICE] == carry["_k_slice"]) & _of_keys(local, carry, keys), "left")
+    found = [F.when(F.col("_place") > 1, F.col(f"_l_{c}")).otherwise(F.col(f"_c_last._p_{c}")).alias(f"{prefix}{c}") for c in cols]
+    return out.select(*[local[c] for c in df.columns], *found)
 
 
 def top_n_per_group(
@@ -208,8 +184,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    ranked = running(counts, by, ["_x"], {"_upto": ("sum", F.col("_n"))})
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    s = sliced(counts, by, ["_x"])
+    ranked = running(counts, by, ["_x"], {"_upto": ("sum", F.col("_n"))}, slices=s)
+    totals = s.df.groupBy(*by).agg(F.sum("_n").alias("_total"))
     cond = [ranked[c].eqNullSafe(totals[c]) for c in by]
     if by:
         both = ranked.join(totals, cond).select(*[ranked[c] for c in by], "_x", "_n", "_upto", "_total")
@@ -235,9 +212,6 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
     )
 
 
-Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame | None]]
-
-
 def _runs(pdf: pd.DataFrame, cols: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows that agree on ``cols``."""
     changed = np.zeros(len(pdf), dtype=bool)
@@ -249,110 +223,118 @@ def _runs(pdf: pd.DataFrame, cols: list[str]) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[a:b]
 
 
-def _scan(step: Step, keys: list[str], emit_rows: bool):
-    """Stream sorted batches, carrying one state; a group is never held as a whole."""
+def _scan(machine: Machine, keys: list[str], emit: str):
+    """Streams rows sorted by key, slice and order; a group is never held as a whole.
+
+    ``emit``: `rows`, the output of every row; `ends`, the state after each slice of a key; `tables`, the same for a key's first
+    slice (``_first``) and the function from any state before it to the state after it for the others.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = [*keys, SLOT]
-        current, state = None, None
+        group = [*keys, SLICE]
+        current, state, table = None, None, None
 
         def closing() -> pd.DataFrame:
             row = dict(zip(group, current))
-            row["_state"] = json.dumps(state)
+            row["_state"] = json.dumps({"table": table.packed()} if table else {"state": state}) if emit == "tables" else json.dumps(state)
             return pd.DataFrame([row])
 
         for pdf in batches:
             for part in _runs(pdf, group):
                 head = tuple(None if pd.isna(v) else v for v in part[group].iloc[0])
                 if head != current:
-                    if current is not None and not emit_rows:
+                    if current is not None and emit != "rows":
                         yield closing()
                     current = head
                     text = part["_start"].iloc[0]
                     state = json.loads(text) if isinstance(text, str) else None
-                state, rows = step(state, part.drop(columns=[SLOT, "_start"]))
-                if emit_rows and rows is not None and len(rows):
+                    table = None
+                    if emit == "tables" and not part["_first"].iloc[0]:
+                        held = {r: part[f"_c_{r}"].iloc[0] for r in machine.seen}
+                        table = TransitionTable(machine, state, {r: None if pd.isna(v) else int(v) for r, v in held.items()})
+                if table:
+                    table.follow(part)
+                    continue
+                state, rows = machine(state, part)
+                if emit == "rows" and len(rows):
                     yield rows
-        if current is not None and not emit_rows:
+        if current is not None and emit != "rows":
             yield closing()
 
     return run
 
 
 def _arranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.repartition(*keys, SLOT).sortWithinPartitions(*keys, SLOT, *order)
+    return df.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE, *order)
 
 
-def _started(df: DataFrame, keys: list[str], order: list[str], step: Step, initial: DataFrame | None) -> DataFrame:
-    """Rows with ``_slot`` and ``_start``, the state each (key, slot) starts from.
+def _started(df: DataFrame, keys: list[str], order: list[str], machine: Machine, initial: DataFrame | None) -> DataFrame:
+    """Rows with ``_slice`` and ``_start``, the state their (key, slice) starts from.
 
-    The starts of a hot key's slots come from folding the slots in parallel, first from a guess (no
-    state), then again those whose real start differs, until all starts agree.
+    Of a key that crosses slices, the first slice is folded from the key's initial state, every slice between the first and the
+    last becomes a function from states to states, all at the same time; composing these few small functions along the key gives
+    each slice its start. The rows themselves are folded once more, by the caller, whatever a key's share of them.
     """
-    spark = df.sparkSession
-    s = hot_slots(df, keys, order)
-    key_fields = [df.schema[k] for k in keys]
-
-    def prior(d: DataFrame, how: str = "left") -> DataFrame:
-        if initial is None:
-            return d.withColumn("_start", F.lit(None).cast("string"))
+    s = sliced(df, keys, order)
+    if initial is None:
+        rows = s.df.withColumn("_start", F.lit(None).cast("string"))
+    else:
         known = initial.select(*keys, F.col("_state").alias("_start"))
-        return d.join(known, _same(d, known, keys), how).select(*[d[c] for c in d.columns], known["_start"])
-
-    if not s.hot:
-        return prior(s.df)
-
-    def with_starts(d: DataFrame, starts: dict, how: str) -> DataFrame:
-        schema = T.StructType([*key_fields, T.StructField(SLOT, T.IntegerType()), T.StructField("_start", T.StringType())])
-        table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in starts.items()], schema))
-        return d.join(table, _same(d, table, [*keys, SLOT]), how).select(*[d[c] for c in d.columns], table["_start"])
-
-    finals_schema = T.StructType([*key_fields, T.StructField(SLOT, T.IntegerType()), T.StructField("_state", T.StringType())])
-
-    def finals(d: DataFrame) -> dict:
-        rows = _arranged(d, keys, order).mapInPandas(_scan(step, keys, False), finals_schema).collect()
-        return {tuple(r[:-1]): r["_state"] for r in rows}  # one small state per slot of a hot key
-
-    # every round reads the hot rows again, so they are kept where a lost executor does not lose them
-    hot = checkpointed(s.df.filter(F.col(SLOT) > 0))
-    hot_keys = hot.select(*keys).distinct()
-    first = {tuple(r[:-1]): r["_start"] for r in prior(hot_keys).collect()}
-    known = finals(hot.withColumn("_start", F.lit(None).cast("string")))
-    assumed: dict = {k: None for k in known}
-    chain = sorted(known, key=lambda k: (tuple((v is not None, str(v)) for v in k[:-1]), k[-1]))
-    while True:
-        actual = {}
-        for before, here in zip([None, *chain], chain):
-            follows = before is not None and before[:-1] == here[:-1]
-            actual[here] = known[before] if follows else first.get(here[:-1])
-        changed = {k: v for k, v in actual.items() if v != assumed[k]}
-        if not changed:
-            break
-        known.update(finals(with_starts(hot, changed, "inner")))
-        assumed.update(changed)
-    return with_starts(hot, assumed, "left").unionByName(prior(s.df.filter(F.col(SLOT) == 0)))
+        rows = s.df.join(known, _same(s.df, known, keys), "left").select(*[s.df[c] for c in s.df.columns], known["_start"])
+    if s.slices <= 1:
+        return rows
+    spans = s.small(_spans(s, keys))
+    inner = rows.join(spans, _of_keys(rows, spans, keys)).filter(F.col(SLICE) < F.col("_hi"))
+    inner = inner.select(*[rows[c] for c in rows.columns], (F.col(SLICE) == F.col("_lo")).alias("_first"))
+    if machine.seen:
+        seen = _carried(s, keys, {r: (F.max, F.expr(x).cast("long")) for r, (x, _) in machine.seen.items()})
+        met = inner.join(seen, (inner[SLICE] == seen["_k_slice"]) & _of_keys(inner, seen, keys), "left")
+        inner = met.select(*[inner[c] for c in inner.columns], *[seen[f"_c_{r}"] for r in machine.seen])
+    key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    schema = T.StructType([*key_fields, T.StructField(SLICE, T.IntegerType()), T.StructField("_state", T.StringType())])
+    tables = _arranged(inner, keys, order).mapInPandas(_scan(machine, keys, "tables"), schema)
+    last = _spans(s, keys)
+    last = last.select(*[F.col(f"_k_{k}").alias(k) for k in keys], F.col("_hi").alias(SLICE), F.lit(None).cast("string").alias("_state"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, begun = pdf.sort_values(SLICE), None, []
+        for text in pdf["_state"]:
+            begun.append(state)
+            if text is not None:
+                found = json.loads(text)
+                state = json.dumps(apply_table(found["table"], json.loads(state)) if "table" in found else found["state"])
+        return pdf.assign(_state=begun).iloc[1:]
+
+    starts = tables.unionByName(last).groupBy(*keys).applyInPandas(compose, schema)
+    starts = s.small(starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(SLICE).alias("_k_slice"), F.col("_state").alias("_begin")))
+    out = rows.join(starts, (rows[SLICE] == starts["_k_slice"]) & _of_keys(rows, starts, keys), "left")
+    return out.select(*[rows[c] for c in rows.columns if c != "_start"], F.coalesce("_begin", "_start").alias("_start"))
+
+
+def fold(
+    df: DataFrame, keys: list[str], order: list[str], machine: Machine, out_schema: T.StructType, initial: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`ordered_fold` and the states of :func:`fold_states`, from one dealing of the rows."""
+    started = _arranged(_started(df, keys, order, machine, initial), keys, order)
+    schema = T.StructType(
+        [*[df.schema[k] for k in keys], T.StructField(SLICE, T.IntegerType()), T.StructField("_state", T.StringType())]
+    )
+    ends = started.mapInPandas(_scan(machine, keys, "ends"), schema)
+    return started.mapInPandas(_scan(machine, keys, "rows"), out_schema), ends.groupBy(*keys).agg(F.max_by("_state", SLICE).alias("_state"))
 
 
 def ordered_fold(
-    df: DataFrame, keys: list[str], order: list[str], step: Step, out_schema: T.StructType, initial: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], machine: Machine, out_schema: T.StructType, initial: DataFrame | None = None
 ) -> DataFrame:
     """Fold the rows of each key in order with a small state, for recurrences no window can express.
 
-    ``step(state, rows)`` gets consecutive rows of one key and returns the new state (JSON-able) and
-    the output rows. ``initial`` (keys, _state) holds the states to go on from. Ordinary keys are folded
-    in one go, hot keys slot by slot in parallel; the result is exact in both cases.
+    ``initial`` (keys, _state) holds the states to go on from. Slices are folded in parallel and the result is exact.
     """
-    started = _started(df, keys, order, step, initial)
-    return _arranged(started, keys, order).mapInPandas(_scan(step, keys, True), out_schema)
+    return fold(df, keys, order, machine, out_schema, initial)[0]
 
 
 def fold_states(
-    df: DataFrame, keys: list[str], order: list[str], step: Step, initial: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], machine: Machine, initial: DataFrame | None = None
 ) -> DataFrame:
     """(keys, _state) after all rows, for the keys that have rows."""
-    started = _started(df, keys, order, step, initial)
-    schema = T.StructType(
-        [*[df.schema[k] for k in keys], T.StructField(SLOT, T.IntegerType()), T.StructField("_state", T.StringType())]
-    )
-    ends = _arranged(started, keys, order).mapInPandas(_scan(step, keys, False), schema)
-    return ends.groupBy(*keys).agg(F.max_by("_state", SLOT).alias("_state"))
+    return fold(df, keys, order, machine, T.StructType([T.StructField("_", T.StringType())]), initial)[1]

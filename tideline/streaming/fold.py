@@ -1,6 +1,6 @@
 """Ordered folds over a stream whose keys may be of any size.
 
-Each micro-batch is folded with the batch operator, so a key that fills most of a batch is cut into slots
+Each micro-batch is folded with the batch operator, so a key that fills most of a batch is cut into slices
 and spread over the cluster. The state per key lives in a keyed replica next to the output. Both are
 written per batch id: a batch that runs again starts from the states before it and overwrites its rows.
 ``tideline.streaming.stateful`` keeps state in Spark's own store instead, with less delay but one task per key.
@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideline.operators.cdc import monitor_fold
 from tideline.operators.health import breaker_fold
-from tideline.operators.ordered import Step, fold_states, ordered_fold
+from tideline.operators.machine import Machine
+from tideline.operators.ordered import fold
 from tideline.sources.sinks import apply_changes, checkpointed_run, compact_replica, read_replica
 
 COMPACT_EVERY = 50
 
 
 def fold_stream(
-    stream: DataFrame, keys: list[str], order: list[str], step: Step, out_schema: T.StructType, target: str, checkpoint: str,
+    stream: DataFrame, keys: list[str], order: list[str], machine: Machine, out_schema: T.StructType, target: str, checkpoint: str,
     available_now: bool = True,
 ):
     """Rows of the fold go to ``target/rows/batch_id=N``, states to ``target/state``."""
@@ -33,9 +34,9 @@ def fold_stream(
             initial = read_replica(spark, states, keys, before=batch_id).select(*keys, "_state")
         except ValueError:  # nothing before this batch
             initial = None
-        rows = ordered_fold(batch, keys, order, step, out_schema, initial)
+        rows, ends = fold(batch, keys, order, machine, out_schema, initial)
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch_id={batch_id}")
-        ends = fold_states(batch, keys, order, step, initial).select(
+        ends = ends.select(
             F.lit("u").alias("op"), F.lit(batch_id).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"), *keys, "_state"
         )
         apply_changes(ends, batch_id, states, keys)
@@ -46,10 +47,10 @@ def fold_stream(
 
 
 def breaker_stream(stream: DataFrame, key: str, order: list[str], ok: str, target: str, checkpoint: str, threshold: int = 3, open_ms: int = 60_000):
-    rows, step, schema = breaker_fold(stream, key, order, ok, threshold, open_ms)
-    return fold_stream(rows, [key], order, step, schema, target, checkpoint)
+    rows, machine, schema = breaker_fold(stream, key, order, ok, threshold, open_ms)
+    return fold_stream(rows, [key], order, machine, schema, target, checkpoint)
 
 
 def monitor_fold_stream(records: DataFrame, key: str, target: str, checkpoint: str, order: list[str] = ("ts", "seq"), compat: bool = False):
-    rows, step, schema = monitor_fold(records, key, order, compat)
-    return fold_stream(rows, [key], list(order), step, schema, target, checkpoint)
+    rows, machine, schema = monitor_fold(records, key, order, compat)
+    return fold_stream(rows, [key], list(order), machine, schema, target, checkpoint)
