@@ -11,6 +11,7 @@ from tideline.catalogue.cdc import order_changes, order_snapshot
 from tideline.operators import cdc, health, series
 from tideline.session import shared_dir
 from tideline.sources import changes as ch, sinks as sk
+from tideline.sources.replica import Replica
 from tideline.streaming import stateful as stf
 
 
@@ -33,42 +34,100 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+ORDERS = {"order": ["ts", "seq"], "op": "op"}
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_replica_does_not_depend_on_the_batches(spark, parts):
     root = shared_dir(spark, "t-upsert")
     snap, changes = order_snapshot(spark, SMALL), order_changes(spark, SMALL)
-    sk.write_base(snap, f"{root}/replica")
+    sk.write_base(snap, f"{root}/replica", ["o_orderkey"], 4)
     stream = feed(spark, changes, root, ["ts", "seq"], parts)
-    finish(sk.upsert_sink(stream, f"{root}/replica", ["o_orderkey"], f"{root}/cp"))
-    got = rows(sk.read_replica(spark, f"{root}/replica", ["o_orderkey"]))
+    finish(sk.upsert_sink(stream, f"{root}/replica", ["o_orderkey"], f"{root}/cp", compact_after=3, **ORDERS))
+    got = rows(sk.read_replica(spark, f"{root}/replica"))
     assert got == rows(cdc.cdc_apply(snap, changes, ["o_orderkey"]))
-    sk.compact_replica(spark, f"{root}/replica", ["o_orderkey"])
-    assert rows(sk.read_replica(spark, f"{root}/replica", ["o_orderkey"])) == got
-    assert sk.compact_replica(spark, f"{root}/replica", ["o_orderkey"]) == -1
+    sk.compact_replica(spark, f"{root}/replica")
+    assert rows(sk.read_replica(spark, f"{root}/replica")) == got
+    assert sk.compact_replica(spark, f"{root}/replica") == -1
 
 
 def test_replayed_batch_and_late_compaction(spark):
     root = shared_dir(spark, "t-replay")
     snap, changes = order_snapshot(spark, SMALL), order_changes(spark, SMALL)
-    sk.write_base(snap, root)
+    sk.write_base(snap, root, ["o_orderkey"], 4)
+    apply = lambda at, i: sk.apply_changes(changes.filter(F.col("ts") == at), i, root, ["o_orderkey"], **ORDERS)
     for i, at in enumerate((10, 20, 30)):
-        sk.apply_changes(changes.filter(F.col("ts") == at), i, root, ["o_orderkey"])
-    want = rows(sk.read_replica(spark, root, ["o_orderkey"]))
-    sk.apply_changes(changes.filter(F.col("ts") == 20), 1, root, ["o_orderkey"])
-    assert rows(sk.read_replica(spark, root, ["o_orderkey"])) == want
-    sk.compact_replica(spark, root, ["o_orderkey"])
-    # the folded batch is replayed once more: it lies below the base and is not read again
-    sk.apply_changes(changes.filter(F.col("ts") == 30), 2, root, ["o_orderkey"])
-    assert rows(sk.read_replica(spark, root, ["o_orderkey"])) == want
+        apply(at, i)
+    want = rows(sk.read_replica(spark, root))
+    assert want == rows(cdc.cdc_apply(snap, changes, ["o_orderkey"]))
+    apply(20, 1)
+    assert rows(sk.read_replica(spark, root)) == want
+    sk.compact_replica(spark, root)
+    apply(30, 2)  # the last batch comes again after it was folded in
+    assert rows(sk.read_replica(spark, root)) == want
+    assert rows(sk.read_replica(spark, root, before=0)) == rows(snap)
 
 
 def test_new_source_column_reaches_the_replica(spark):
     root = shared_dir(spark, "t-schema")
-    sk.write_base(spark.createDataFrame([(1, "a")], "id_ int, v string"), root)
-    sk.apply_changes(spark.createDataFrame([("u", 1, 1, 1, "b")], "op string, ts int, seq int, id_ int, v string"), 0, root, ["id_"])
-    sk.apply_changes(spark.createDataFrame([("c", 2, 1, 2, "c", 7)], "op string, ts int, seq int, id_ int, v string, w int"), 1, root, ["id_"])
-    got = {r["id_"]: (r["v"], r["w"]) for r in sk.read_replica(spark, root, ["id_"]).collect()}
-    assert got == {1: ("b", None), 2: ("c", 7)}
+    sk.write_base(spark.createDataFrame([(1, "a")], "id int, v string"), root, ["id"], 2)
+    sk.apply_changes(spark.createDataFrame([("u", 1, 1, 1, "b")], "_op string, _ts int, _seq int, id int, v string"), 0, root, ["id"])
+    sk.apply_changes(spark.createDataFrame([("c", 2, 1, 2, "c", 7)], "_op string, _ts int, _seq int, id int, v string, w int"), 1, root, ["id"])
+    sk.apply_changes(spark.createDataFrame([("u", 3, 1, 1, 9)], "_op string, _ts int, _seq int, id int, w int"), 2, root, ["id"])
+    got = {r["id"]: (r["v"], r["w"]) for r in sk.read_replica(spark, root).collect()}
+    assert got == {1: (None, 9), 2: ("c", 7)}
+
+
+CHANGE = "_op string, _ts long, _seq long, k long, v string"
+
+
+def test_replica_is_merged_without_a_shuffle(spark):
+    root = shared_dir(spark, "t-buckets")
+    sk.write_base(spark.range(1000).selectExpr("id AS k", "'a' AS v"), root, ["k"], 8)
+    for i in range(3):
+        sk.apply_changes(spark.createDataFrame([("u", i, 0, 7, f"b{i}"), ("d", i, 1, 50 + i, None)], CHANGE), i, root, ["k"])
+    df = sk.read_replica(spark, root)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 997 and df.filter("k = 7").first()["v"] == "b2"
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("tideline_")]:
+        spark.sql(f"DROP TABLE {name}")  # another session has to open it from its manifest
+    assert rows(sk.read_replica(spark, root)) == rows(df)
+
+
+def test_only_full_buckets_are_compacted(spark):
+    root = shared_dir(spark, "t-compact")
+    sk.write_base(spark.range(400).selectExpr("id AS k", "'a' AS v"), root, ["k"], 8)
+    bucket = lambda k: spark.range(1).select(F.pmod(F.hash(F.lit(k).cast("long")), F.lit(8)).alias("b")).first()["b"]
+    here, other = 7, next(k for k in range(8, 400) if bucket(k) != bucket(7))
+    for i in range(4):
+        rows_ = [("u", i, 0, here, f"b{i}")] + ([("u", i, 0, other, "once")] if i == 0 else [])
+        sk.apply_changes(spark.createDataFrame(rows_, CHANGE), i, root, ["k"], compact_after=3)
+    m = Replica.open(spark, root).manifest
+    assert set(m.floors) == {str(bucket(here))} and m.pending == {str(bucket(here)): 1, str(bucket(other)): 1}
+    parts = spark.read.parquet(f"{root}/data")
+    compacted = parts.filter(F.col("_at") == m.floors[str(bucket(here))])
+    assert 0 < compacted.count() < 400 and {r["b"] for r in compacted.select(F.pmod(F.hash("k"), F.lit(8)).alias("b")).distinct().collect()} == {bucket(here)}
+    want = sorted([(k, "b3" if k == here else "once" if k == other else "a") for k in range(400)], key=str)
+    assert rows(sk.read_replica(spark, root)) == want
+    for i in range(4, 12):  # old versions and the parts that only they name go
+        sk.apply_changes(spark.createDataFrame([("u", i, 0, k, "z") for k in range(400)], CHANGE), i, root, ["k"], compact_after=2)
+    assert {r["v"] for r in sk.read_replica(spark, root).collect()} == {"z"} and sk.read_replica(spark, root).count() == 400
+    assert spark.read.parquet(f"{root}/data").select("_at").distinct().count() <= 8
+
+
+def test_a_late_older_change_loses_against_a_compacted_delete(spark):
+    root = shared_dir(spark, "t-late")
+    sk.apply_changes(spark.createDataFrame([("c", 1, 1, 1, "a"), ("c", 1, 2, None, "n")], CHANGE), 0, root, ["k"], buckets=2)
+    sk.apply_changes(spark.createDataFrame([("d", 9, 1, 1, None)], CHANGE), 1, root, ["k"])
+    sk.compact_replica(spark, root)
+    sk.apply_changes(spark.createDataFrame([("u", 5, 1, 1, "late"), ("u", 5, 2, 2, "new")], CHANGE), 2, root, ["k"])
+    assert rows(sk.read_replica(spark, root)) == [(2, "new"), (None, "n")]
+    sk.apply_changes(spark.createDataFrame([], CHANGE), 3, root, ["k"])
+    assert sk.read_replica(spark, root).count() == 2
+    with pytest.raises(ValueError):
+        sk.write_base(spark.createDataFrame([(1, 2)], "k long, _at long"), shared_dir(spark, "t-taken"), ["k"])
+    with pytest.raises(ValueError):
+        sk.read_replica(spark, shared_dir(spark, "t-none"))
 
 
 def test_change_messages(spark):
@@ -80,7 +139,7 @@ def test_change_messages(spark):
     ]
     spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{root}/in")
     finish(sk.append_sink(ch.change_stream(spark, f"{root}/in", "k int, v string"), f"{root}/out", f"{root}/cp"))
-    got = {(r["op"], r["k"], r["v"]) for r in spark.read.parquet(f"{root}/out").collect()}
+    got = {(r["_op"], r["k"], r["v"]) for r in spark.read.parquet(f"{root}/out").collect()}
     assert got == {("c", 1, "a"), ("d", 1, "a"), ("r", 2, "b")}
 
 

@@ -9,34 +9,38 @@ from tideline.catalogue.base import query
 from tideline.operators import cdc
 
 # ---- changes -----------------------------------------------------------------
-# snapshot: keys % 10 < 8; then 8 is inserted and updated, 1 updated, 2 updated and deleted, 3 deleted and inserted again
-CHANGES_SQL = """WITH snap AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 < 8) """
-
-
+# the snapshot holds all orders, and every order has changes by the last digit of its key; 8 and 9 insert a row of a new key as well
 def order_snapshot(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").filter(F.col("o_orderkey") % 10 < 8)
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 def order_changes(spark, sf):
     """Change records in no particular order: op, ts, seq and the row."""
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    d = F.col("o_orderkey") % 10
+    d, key = F.col("o_orderkey") % 10, F.col("o_orderkey")
 
-    def change(op, ts, seq, status):
-        return F.struct(F.lit(op).alias("op"), F.lit(ts).cast("long").alias("ts"), F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"))
+    def change(op, ts, seq, status, new=False, more=0):
+        fields = {"op": F.lit(op), "ts": F.lit(ts).cast("long"), "seq": F.lit(seq).cast("long"), "o_orderkey": -key if new else key, "o_custkey": F.col("o_custkey") + more, "o_orderstatus": F.lit(status) if status else F.col("o_orderstatus")}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
 
     plan = (
-        F.when(d == 8, F.array(change("u", 20, 1, "U"), change("c", 10, 1, "C")))
+        F.when(d == 0, F.array(change("u", 10, 1, "A")))
         .when(d == 1, F.array(change("u", 10, 2, "U2"), change("u", 10, 1, "U1")))
         .when(d == 2, F.array(change("d", 10, 2, "X"), change("u", 10, 1, "U1")))
         .when(d == 3, F.array(change("d", 10, 1, "X"), change("c", 30, 1, "R")))
+        .when(d == 4, F.array(change("d", 30, 1, "X"), change("u", 20, 1, "U1"), change("u", 10, 1, "U0")))
+        .when(d == 5, F.array(change("u", 20, 1, None, more=1)))
+        .when(d == 6, F.array(change("u", 30, 1, "L"), change("u", 10, 1, "E")))
+        .when(d == 7, F.array(change("u", 20, 1, "S1"), change("u", 20, 2, "S2"), change("d", 10, 1, "X")))
+        .when(d == 8, F.array(change("u", 20, 1, "U", new=True), change("c", 10, 1, "C", new=True)))
+        .otherwise(F.array(change("u", 10, 1, "K"), change("c", 10, 1, "C", new=True), change("d", 30, 1, "X", new=True)))
     )
-    out = rows.select("o_orderkey", "o_custkey", F.explode(plan).alias("c"))
-    return out.select("c.op", "c.ts", "c.seq", "o_orderkey", "o_custkey", F.col("c.status").alias("o_orderstatus"))
+    return rows.select(F.explode(plan).alias("c")).select("c.*")
 
 
-APPLIED = """SELECT o_orderkey, o_custkey, CASE o_orderkey % 10 WHEN 8 THEN 'U' WHEN 1 THEN 'U2' WHEN 3 THEN 'R' ELSE o_orderstatus END AS o_orderstatus
-FROM orders WHERE o_orderkey % 10 NOT IN (2, 9)"""
+APPLIED = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 5 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, CASE o_orderkey % 10 WHEN 0 THEN 'A'
+ WHEN 1 THEN 'U2' WHEN 3 THEN 'R' WHEN 6 THEN 'L' WHEN 7 THEN 'S2' WHEN 9 THEN 'K' ELSE o_orderstatus END AS o_orderstatus
+FROM orders WHERE o_orderkey % 10 NOT IN (2, 4) UNION ALL SELECT -o_orderkey, o_custkey, 'U' FROM orders WHERE o_orderkey % 10 = 8"""
 
 
 @query("cdc_apply", APPLIED)

@@ -15,7 +15,8 @@ from tideline.session import shared_dir
 from tideline.sources import catalog as ct, changes as ch, sinks as sk, snapshot as sn
 from tideline.streaming import fold as fo, stateful as stf
 
-ROW = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+ROW = "id bigint, seq bigint, op string"
+BUCKETS = 16
 
 # ---- reading -----------------------------------------------------------------
 
@@ -75,13 +76,13 @@ def sink_mode(spark, sf):
 def _envelopes(spark, sf):
     """Change records of the orders as JSON messages; every fifth one is delivered twice."""
     rows = order_changes(spark, sf)
-    row = F.struct("o_orderkey", "o_custkey", "o_orderstatus")
+    row = F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seq"), F.col("o_orderstatus").alias("op"))
     deleted = F.col("op") == "d"
     message = rows.select(
         "op", "ts", "seq", F.concat_ws("-", "o_orderkey", "ts", "seq").alias("id"),
         F.when(deleted, row).alias("before"), F.when(~deleted, row).alias("after"),
     )
-    return message.unionByName(message.filter(F.col("after.o_orderkey") % 5 == 1))
+    return message.unionByName(message.filter(F.col("after.id") % 5 == 1))
 
 
 def _run(q):
@@ -104,25 +105,26 @@ def _local_state_partitions(spark):
 
 @query("change_stream", APPLIED)
 def change_stream(spark, sf):
-    """Change files -> stream -> keyed replica over the snapshot -> its rows."""
+    """Change files -> stream -> keyed replica over the snapshot -> its rows; the table's columns are named like the envelope's."""
     root = shared_dir(spark, "change-stream")
     _envelopes(spark, sf).write.json(f"{root}/in")
-    sk.write_base(order_snapshot(spark, sf), f"{root}/replica")
+    names = dict(zip(("o_orderkey", "o_custkey", "o_orderstatus"), ("id", "seq", "op")))
+    sk.write_base(order_snapshot(spark, sf).withColumnsRenamed(names), f"{root}/replica", ["id"], BUCKETS)
     stream = ch.change_stream(spark, f"{root}/in", ROW)
-    _run(sk.upsert_sink(stream, f"{root}/replica", ["o_orderkey"], f"{root}/cp"))
-    return sk.read_replica(spark, f"{root}/replica", ["o_orderkey"])
+    _run(sk.upsert_sink(stream, f"{root}/replica", ["id"], f"{root}/cp", buckets=BUCKETS))
+    return sk.read_replica(spark, f"{root}/replica").withColumnsRenamed({v: k for k, v in names.items()})
 
 
 @query("upsert_sink", APPLIED)
 def upsert_sink(spark, sf):
-    """Several micro-batches, one of them written twice, then compaction."""
+    """Several micro-batches, one of them written twice, buckets compacted after two of them, then all."""
     root = shared_dir(spark, "upsert-sink")
     changes = order_changes(spark, sf)
-    sk.write_base(order_snapshot(spark, sf), root)
+    sk.write_base(order_snapshot(spark, sf), root, ["o_orderkey"], BUCKETS)
     for batch_id, at in [(0, 10), (1, 20), (1, 20), (2, 30)]:
-        sk.apply_changes(changes.filter(F.col("ts") == at), batch_id, root, ["o_orderkey"])
-    sk.compact_replica(spark, root, ["o_orderkey"])
-    return sk.read_replica(spark, root, ["o_orderkey"])
+        sk.apply_changes(changes.filter(F.col("ts") == at), batch_id, root, ["o_orderkey"], ["ts", "seq"], "op", compact_after=2)
+    sk.compact_replica(spark, root)
+    return sk.read_replica(spark, root)
 
 
 @query("append_sink", "SELECT event_id, user_id, event_type FROM events")
@@ -205,15 +207,15 @@ def ewma_stream(spark, sf):
     log = statement_log(spark, sf).select("client_uuid", "execution_time", "timestamp", F.col("id").cast("long").alias("id"))
     stream = _in_time_order(spark, log, root, F.floor(F.col("id") * 3 / _size(log, "id")))
     averages = stf.ewma_stream(stream, "client_uuid", "execution_time", ["timestamp", "id"])
-    changed = averages.select(F.lit("u").alias("op"), F.col("executions").alias("ts"), F.lit(0).cast("long").alias("seq"), "*")
+    changed = averages.select(F.lit("u").alias("_op"), F.col("executions").alias("_ts"), F.lit(0).cast("long").alias("_seq"), "*")
 
     def write(batch, batch_id):
-        sk.apply_changes(batch, batch_id, f"{root}/out", ["client_uuid"])
+        sk.apply_changes(batch, batch_id, f"{root}/out", ["client_uuid"], buckets=BUCKETS)
 
     writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/cp")
     with _local_state_partitions(spark):
         _run(writer.trigger(availableNow=True).start())
-    out = sk.read_replica(spark, f"{root}/out", ["client_uuid"])
+    out = sk.read_replica(spark, f"{root}/out")
     return out.select("client_uuid", F.round("ewma", 4).alias("ewma"), "executions")
 
 

@@ -12,18 +12,16 @@ ROWS_PER_TRIGGER = 50_000_000
 
 
 def change_stream(spark: SparkSession, path: str, row_schema: str, per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """Stream of JSON change files: op, ts, seq, id and the columns of the row.
+    """Stream of JSON change files: _op, _ts, _seq, _id of the message and the columns of the row, whatever their names.
 
     Deletes carry the row in ``before``; every other record in ``after``.
     """
-    envelope = f"op string, ts bigint, seq bigint, id string, before struct<{row_schema}>, after struct<{row_schema}>"
-    reader = spark.readStream.format("json").schema(envelope).option("maxFilesPerTrigger", per_trigger)
+    reader = spark.readStream.format("json").schema(_envelope(row_schema)).option("maxFilesPerTrigger", per_trigger)
     return flatten_changes(reader.load(path))
 
 
 def kafka_changes(spark: SparkSession, servers: str, topic: str, row_schema: str) -> DataFrame:
     """The same from a Kafka topic, read from its beginning. Needs the Kafka source on the class path."""
-    envelope = f"op string, ts bigint, seq bigint, id string, before struct<{row_schema}>, after struct<{row_schema}>"
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -32,12 +30,21 @@ def kafka_changes(spark: SparkSession, servers: str, topic: str, row_schema: str
         .option("maxOffsetsPerTrigger", ROWS_PER_TRIGGER)
         .load()
     )
-    return flatten_changes(raw.select(F.from_json(F.col("value").cast("string"), envelope).alias("m")).select("m.*"))
+    return flatten_changes(raw.select(F.from_json(F.col("value").cast("string"), _envelope(row_schema)).alias("m")).select("m.*"))
+
+
+def _envelope(row_schema: str) -> str:
+    return f"op string, ts bigint, seq bigint, id string, before struct<{row_schema}>, after struct<{row_schema}>"
 
 
 def flatten_changes(records: DataFrame) -> DataFrame:
+    """The envelope under names that begin with an underscore, then the row: a table may have columns op, ts, seq or id itself."""
     row = F.when(F.col("op") == "d", F.coalesce("before", "after")).otherwise(F.col("after"))
-    return records.select("op", "ts", "seq", "id", row.alias("_row")).select("op", "ts", "seq", "id", "_row.*")
+    envelope = [F.col(c).alias(f"_{c}") for c in ("op", "ts", "seq", "id")]
+    taken = {"_op", "_ts", "_seq", "_id"} & set(records.schema["after"].dataType.names)
+    if taken:
+        raise ValueError(f"reserved column names: {sorted(taken)}")
+    return records.select(*envelope, row.alias("_row")).select("_op", "_ts", "_seq", "_id", "_row.*")
 
 
 def event_log_read(spark: SparkSession, path: str, schema: str, per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:

@@ -1,10 +1,4 @@
-"""Replica targets: keyed (upsert) and append-only.
-
-A keyed replica is a folder with ``base/v=N`` (one row per key) and ``changes/batch_id=M`` (the last
-change per key of each micro-batch). A batch costs as much as its changes, not as the table; readers
-merge; :func:`compact_replica` folds the changes into a new base now and then. A batch written twice
-overwrites its own folder, so a replay changes nothing.
-"""
+"""Replica targets: keyed (upsert) and append-only, and the runs that feed them."""
 
 from __future__ import annotations
 
@@ -12,90 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.operators.cdc import cdc_apply, latest_per_key
+from tideline.sources.replica import BUCKETS, COMPACT_AFTER, ID, OP, SEQ, TS, Replica
 
 # --- fixed values -------------------------------------------------------------
 COMMIT_EVERY = "3 seconds"
 # ------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, folder: str, column: str) -> list[int]:
-    """Complete versions below a folder, read through the file system that holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [
-        st.getPath().getName()
-        for st in fs.listStatus(path)
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-    ]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{column}="))
-
-
-def write_base(df: DataFrame, target: str, version: int = -1) -> None:
-    """Base that holds every batch up to ``version`` (-1: the snapshot)."""
-    df.write.mode("overwrite").parquet(f"{target}/base/v={version}")
-
-
-def apply_changes(batch: DataFrame, batch_id: int, target: str, keys: list[str], order: list[str] = ("ts", "seq")) -> None:
-    """Write the last change per key of one micro-batch, laid out by key."""
-    last = latest_per_key(batch, keys, list(order))
-    last.write.mode("overwrite").parquet(f"{target}/changes/batch_id={batch_id}")
-
+def write_base(df: DataFrame, target: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A new replica that holds a snapshot, one row per key."""
+    Replica.create(df.sparkSession, target, keys, df.schema, buckets).load(df)
 
-def _pending(spark: SparkSession, target: str, before: int | None = None) -> tuple[int | None, list[int]]:
-    def wanted(v: int) -> bool:
-        return before is None or v < before
 
-    bases = [v for v in _versions(spark, f"{target}/base", "v") if wanted(v)]
-    newest = bases[-1] if bases else None
-    floor = -1 if newest is None else newest
-    return newest, [b for b in _versions(spark, f"{target}/changes", "batch_id") if b > floor and wanted(b)]
+def apply_changes(
+    batch: DataFrame, batch_id: int, target: str, keys: list[str], order: list[str] = (TS, SEQ), op: str = OP,
+    buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER,
+) -> None:
+    """The changes of one micro-batch: ``op`` (``d`` deletes) and two whole numbers to order by, beside the row's columns.
 
-
-def read_replica(
-    spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq"), before: int | None = None
-) -> DataFrame:
+    A replica that is not there yet begins with this batch. A batch that comes again replaces what it wrote.
+    """
+    spark = batch.sparkSession
+    changes = batch.withColumnsRenamed({c: r for c, r in zip((op, *order), (OP, TS, SEQ)) if c != r})
+    try:
+        newest = Replica.open(spark, target)
+        if newest.manifest.batch > batch_id:
+            return  # long since applied
+        replica = Replica.open(spark, target, before=batch_id) if newest.manifest.batch == batch_id else newest
+    except ValueError:
+        rows = changes.drop(OP, TS, SEQ, ID).schema
+        replica = Replica.create(spark, target, keys, rows, buckets)
+    replica.apply(changes, batch_id, compact_after)
+
+
+def read_replica(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
     """Current rows of a keyed replica; columns added by later batches are included.
 
     ``before`` leaves out that batch and later ones (what a replayed batch has to start from).
     """
-    newest, batches = _pending(spark, target, before)
-    base = None if newest is None else spark.read.parquet(f"{target}/base/v={newest}")
-    if not batches:
-        if base is None:
-            raise ValueError(f"no replica at {target}")
-        return base
-    folders = [f"{target}/changes/batch_id={b}" for b in batches]
-    changes = spark.read.option("mergeSchema", "true").parquet(*folders)
-    if "id" in changes.columns and (base is None or "id" not in base.columns):
-        changes = changes.drop("id")
-    if base is None:
-        last = latest_per_key(changes, keys, list(order))
-        return last.filter(F.col(op) != "d").drop(op, *order)
-    return cdc_apply(base, changes, keys, op, list(order))
-
-
-def compact_replica(
-    spark: SparkSession, target: str, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq"), before: int | None = None
-) -> int:
-    """Fold pending batches into a new base; readers switch once its files are complete.
-
-    Returns the last batch folded in, -1 when there was none. With ``before``, batches from there on stay pending.
-    """
-    _, batches = _pending(spark, target, before)
-    if not batches:
-        return -1
-    write_base(read_replica(spark, target, keys, op, order, before), target, batches[-1])
-    return batches[-1]
+    return Replica.open(spark, target, before).read()
+
+
+def compact_replica(spark: SparkSession, target: str) -> int:
+    """Compacts all buckets that have changes; returns the last batch folded in, -1 when there was none."""
+    replica = Replica.open(spark, target)
+    return replica.compact().manifest.batch if replica.manifest.pending else -1
 
 
-def upsert_sink(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: list[str] = ("ts", "seq"), available_now: bool = True):
+def upsert_sink(
+    stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: list[str] = (TS, SEQ), op: str = OP,
+    available_now: bool = True, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER,
+):
     """Stream of changes into a keyed replica."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(batch, batch_id, target, keys, order)
+        apply_changes(batch, batch_id, target, keys, order, op, buckets, compact_after)
 
     return checkpointed_run(stream, write, checkpoint, available_now)
 

@@ -14,9 +14,7 @@ from tideline.operators.cdc import monitor_fold
 from tideline.operators.health import breaker_fold
 from tideline.operators.machine import Machine
 from tideline.operators.ordered import fold
-from tideline.sources.sinks import apply_changes, checkpointed_run, compact_replica, read_replica
-
-COMPACT_EVERY = 50
+from tideline.sources.sinks import apply_changes, checkpointed_run, read_replica
 
 
 def fold_stream(
@@ -31,17 +29,15 @@ def fold_stream(
         if batch.isEmpty():
             return
         try:
-            initial = read_replica(spark, states, keys, before=batch_id).select(*keys, "_state")
+            initial = read_replica(spark, states, before=batch_id).select(*keys, "_state")
         except ValueError:  # nothing before this batch
             initial = None
         rows, ends = fold(batch, keys, order, machine, out_schema, initial)
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch_id={batch_id}")
         ends = ends.select(
-            F.lit("u").alias("op"), F.lit(batch_id).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"), *keys, "_state"
+            F.lit("u").alias("_op"), F.lit(batch_id).cast("long").alias("_ts"), F.lit(0).cast("long").alias("_seq"), *keys, "_state"
         )
         apply_changes(ends, batch_id, states, keys)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            compact_replica(spark, states, keys, before=batch_id)
 
     return checkpointed_run(stream, write, checkpoint, available_now)
 
