@@ -290,8 +290,9 @@ SHOP_SQL = """users AS (SELECT c_custkey AS id, c_name AS username, CASE WHEN c_
 
 
 def cache_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """One rule per supplier."""
+    """One rule per supplier; each names two statements of the log, from anywhere in it."""
     s = F.col("s_suppkey")
+    statements = table(spark, sf, "events").agg(F.max("event_id") + 1).scalar()
     tables = F.when(s % 6 == 0, F.array(*[F.lit(t) for t in RULE_TABLES[0]]))
     for i, names in enumerate(RULE_TABLES[1:], start=1):
         tables = tables.when(s % 6 == i, F.array(*[F.lit(t) for t in names]).cast("array<string>"))
@@ -302,7 +303,7 @@ def cache_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(
         F.concat(F.lit("rule-"), text).alias("id"), s.alias("pos"), (s % 5 != 0).alias("enabled"),
         pick(s % 10, [c[0] for c in CONNECTIONS]).alias("conn_hash"), tables.alias("tables"),
-        F.array(((s * 37) % 1000).cast("string"), ((s * 53 + 11) % 1000).cast("string")).alias("slow_query_ids"), jobs.alias("job_ids"),
+        F.array(*[(x % statements).cast("string") for x in (s * 7919, s * 104_729 + 11)]).alias("slow_query_ids"), jobs.alias("job_ids"),
     )
 
 
@@ -314,7 +315,7 @@ RULES_SQL = f"""rules AS (
   SELECT 'rule-' || s_suppkey AS id, s_suppkey AS pos, s_suppkey % 5 <> 0 AS enabled,
          {case_sql('s_suppkey % 10', [c[0] for c in CONNECTIONS])} AS conn_hash, s_suppkey % 10 AS conn,
          CASE s_suppkey % 6 {' '.join(f'WHEN {i} THEN {_list_sql(t)}' for i, t in enumerate(RULE_TABLES))} END AS tables,
-         [CAST((s_suppkey * 37) % 1000 AS VARCHAR), CAST((s_suppkey * 53 + 11) % 1000 AS VARCHAR)] AS slow_query_ids,
+         [CAST((s_suppkey * 7919) % (SELECT max(event_id) + 1 FROM events) AS VARCHAR), CAST((s_suppkey * 104729 + 11) % (SELECT max(event_id) + 1 FROM events) AS VARCHAR)] AS slow_query_ids,
          CASE WHEN s_suppkey % 4 = 0 THEN MAP {{'orders': 'o-' || s_suppkey, 'products': 'p-' || s_suppkey}}
               ELSE MAP {{}}::MAP(VARCHAR, VARCHAR) END AS job_ids
   FROM supplier)"""
@@ -358,8 +359,8 @@ STATE_SQL = f"""state AS (
 
 
 def running_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every second state has a running job; customers add unmanaged jobs and managed orphans."""
-    state = sync_state(spark, sf).filter(F.length("job_name") % 2 == 0).select("job_name", "job_id")
+    """Every state has a running job; customers add unmanaged jobs and managed orphans."""
+    state = sync_state(spark, sf).select("job_name", "job_id")
     c = F.col("c_custkey")
     other = table(spark, sf, "customer").select(
         F.concat(F.when(c % 3 == 0, "managed-orphan-").otherwise("other-"), c.cast("string")).alias("job_name"),
@@ -369,7 +370,7 @@ def running_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUNNING_SQL = """running AS (
-  SELECT job_name, job_id FROM state WHERE length(job_name) % 2 = 0
+  SELECT job_name, job_id FROM state
   UNION ALL SELECT CASE WHEN c_custkey % 3 = 0 THEN 'managed-orphan-' ELSE 'other-' END || c_custkey, 'c-' || c_custkey FROM customer)"""
 
 

@@ -66,14 +66,13 @@ def insert_rows(spark, sf):
     ).drop("c_custkey")
 
 
-@query("upsert_accumulate", """WITH n AS (SELECT l_partkey AS k, count(*) AS c, 'line ' || max(l_linenumber) AS label FROM lineitem WHERE l_quantity > 49 GROUP BY 1),
-p AS (SELECT p_partkey AS k, p_name AS label, CAST(p_size AS BIGINT) AS c FROM part WHERE p_size > 25)
+@query("upsert_accumulate", """WITH n AS (SELECT l_partkey AS k, count(*) AS c, 'line ' || max(l_linenumber) AS label FROM lineitem GROUP BY 1),
+p AS (SELECT p_partkey AS k, p_name AS label, CAST(p_size AS BIGINT) AS c FROM part)
 SELECT COALESCE(p.k, n.k) AS id, COALESCE(n.label, p.label) AS label, COALESCE(p.c + n.c, n.c, p.c) AS n FROM p FULL JOIN n ON p.k = n.k""")
 def upsert_accumulate(spark, sf):
     """Lines repeat their part: the last one by line number names it, all of them count."""
-    part = _t(spark, sf, "part").filter(F.col("p_size") > 25)
-    have = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_size").cast("long").alias("n"))
-    new = _t(spark, sf, "lineitem").filter(F.col("l_quantity") > 49).select(
+    have = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_size").cast("long").alias("n"))
+    new = _t(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("label"),
         F.lit(1).cast("long").alias("n"), F.col("l_linenumber").alias("_seq"),
     )
@@ -134,23 +133,21 @@ def inner_join_chain(spark, sf):
     return chain.groupBy("r_name", "n_name").agg(F.sum("n").alias("n"))
 
 
-@query("left_join", """WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS mi, count(*) AS n FROM orders WHERE month(o_orderdate) <> 5 GROUP BY 1)
+@query("left_join", """WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS mi, count(*) AS n FROM orders GROUP BY 1)
 SELECT a.mi, a.n, b.n AS n_before FROM m a LEFT JOIN m b ON b.mi = a.mi - 1""")
 def left_join(spark, sf):
     m = re.month_index(F.col("o_orderdate")).alias("mi")
-    months = _t(spark, sf, "orders").filter(F.month("o_orderdate") != 5).groupBy(m).agg(F.count(F.lit(1)).alias("n"))
+    months = _t(spark, sf, "orders").groupBy(m).agg(F.count(F.lit(1)).alias("n"))
     before = months.select((F.col("mi") + 1).alias("next_mi"), F.col("n").alias("n_before"))
     return re.left_join(months, before, F.col("mi") == F.col("next_mi")).select("mi", "n", "n_before")
 
 
-RANGE = """WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS mi, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS rev FROM orders
-WHERE month(o_orderdate) <> 5 GROUP BY 1) SELECT a.mi, CAST(a.rev AS DOUBLE) AS rev, """
+RANGE = """WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS mi, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS rev FROM orders GROUP BY 1) SELECT a.mi, CAST(a.rev AS DOUBLE) AS rev, """
 
 
 def _months(spark, sf):
     m = re.month_index(F.col("o_orderdate")).alias("mi")
-    kept = _t(spark, sf, "orders").filter(F.month("o_orderdate") != 5)
-    return kept.groupBy(m).agg(F.sum(_money("o_totalprice")).alias("rev"))
+    return _t(spark, sf, "orders").groupBy(m).agg(F.sum(_money("o_totalprice")).alias("rev"))
 
 
 @query("range_join", RANGE + f"{MEAN_CENTS} AS rolling_avg FROM m a JOIN m b ON b.mi BETWEEN a.mi - 2 AND a.mi GROUP BY a.mi, a.rev")
@@ -254,13 +251,12 @@ def row_number_top(spark, sf):
 
 
 CAL = """WITH m AS (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS mi, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS rev
-FROM orders WHERE month(o_orderdate) NOT IN (2, 5) GROUP BY ALL) """
+FROM orders GROUP BY ALL) """
 
 
 def _by_priority(spark, sf):
     m = re.month_index(F.col("o_orderdate")).alias("mi")
-    kept = _t(spark, sf, "orders").filter(~F.month("o_orderdate").isin(2, 5))
-    return kept.groupBy(F.col("o_orderpriority").alias("p"), m).agg(F.sum(_money("o_totalprice")).alias("rev"))
+    return _t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p"), m).agg(F.sum(_money("o_totalprice")).alias("rev"))
 
 
 @query("calendar_range_avg", CAL + f"SELECT a.p, a.mi, {MEAN_CENTS} AS rolling_avg FROM m a JOIN m b ON a.p = b.p AND b.mi BETWEEN a.mi - 2 AND a.mi GROUP BY a.p, a.mi")

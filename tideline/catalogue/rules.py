@@ -143,13 +143,13 @@ STATES = {"view": "SNAPSHOT_SYNCING", "click": "INCREMENTAL_SYNCING", "signup":
 STATE_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
 FEED = f"""feed AS (SELECT {job_name_sql('conn_hash', 'db', 'tab')} AS job_name, 'e' || event_id AS job_id, {STATE_CASE} AS state, timestamp AS ts, event_id AS seq,
  CASE WHEN event_id % 3 = 0 THEN 'x' || event_id END AS database, lower(tab) AS tab, 'unknown' AS conn FROM
- (SELECT *, {b.DATABASE_OF_CONN} AS db, string_split(table_names, ',')[1] AS tab FROM log WHERE table_names <> '') WHERE db IS NOT NULL)"""
+ (SELECT *, {b.DATABASE_OF_CONN} AS db, CASE WHEN event_id % 7 = 0 THEN 'new_' ELSE '' END || string_split(table_names, ',')[1] AS tab FROM log WHERE table_names <> '') WHERE db IS NOT NULL)"""
 
 
 def _feed(spark, sf):
     log = statement_log(spark, sf).filter((F.col("table_names") != "") & database_name("conn_hash").isNotNull())
-    tab = F.element_at(csv_items("table_names"), 1)
     e = F.col("id").cast("long")
+    tab = F.concat(F.when(e % 7 == 0, "new_").otherwise(""), F.element_at(csv_items("table_names"), 1))
     events = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), "event_type")
     state = F.lit(None).cast("string")
     for k, v in STATES.items():
@@ -161,8 +161,8 @@ def _feed(spark, sf):
     )
 
 
-# half of the states exist before the feed is folded in
-@query("sync_state_update", ST + f""", {FEED}, old AS (SELECT * FROM state WHERE length(job_name) % 2 = 0),
+# every seventh record is of a table that has no state yet
+@query("sync_state_update", ST + f""", {FEED}, old AS (SELECT * FROM state),
 f AS (SELECT job_name, arg_max(job_id, (ts, seq)) AS job_id, max(ts) AS ts, arg_max(state LIKE 'INC%', (ts, seq)) FILTER (state <> 'OTHER') AS ready,
  arg_max(state LIKE 'INC%', (ts, seq)) FILTER (state NOT IN ('OTHER', 'FAILED')) AS snap, arg_min(database, (ts, seq)) FILTER (database IS NOT NULL) AS database,
  arg_min(tab, (ts, seq)) AS tab, any_value(conn) AS conn FROM feed GROUP BY 1)
@@ -170,8 +170,7 @@ SELECT COALESCE(o.job_name, f.job_name) AS job_name, COALESCE(o.conn_hash, f.con
 COALESCE(o.table_name, f.tab) AS table_name, COALESCE(f.job_id, o.job_id) AS job_id, o.rule_id, COALESCE(f.ready, o.ready, false) AS ready,
 COALESCE(f.snap, o.snapshot_finished, false) AS snapshot_finished, COALESCE(f.ts, o.update_time) AS update_time FROM old o FULL JOIN f ON o.job_name = f.job_name""")
 def sync_state_update(spark, sf):
-    old = sync_state(spark, sf).filter(F.length("job_name") % 2 == 0).drop("cdc_state")
-    return sy.sync_state_update(old, _feed(spark, sf))
+    return sy.sync_state_update(sync_state(spark, sf).drop("cdc_state"), _feed(spark, sf))
 
 
 @query("snapshot_finished_fanout", ST + """, note AS (SELECT lower(unnest(['archive', 'Reviews', tab])) AS t, CASE WHEN event_id % 2 = 0 THEN 'n' || id ELSE '' END AS job, timestamp AS ts

@@ -31,7 +31,7 @@ def snapshot_splits(spark, sf):
     return sn.plan_splits(sn.key_bounds(table(spark, sf, "orders"), "o_orderkey"))
 
 
-NAMES = ["customer", "events", "nation", "orders", "region"]
+NAMES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
 
 
 @query("table_catalog", f"""SELECT table_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY column_index) AS INTEGER) AS ordinal, column_name FROM duckdb_columns()
