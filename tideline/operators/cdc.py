@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideline.operators.machine import Machine
-from tideline.operators.ordered import ordered_fold, running, top_n_per_group
+from tideline.operators.ordered import best_per_key, ordered_fold, running, top_n_per_group
 
 # --- fixed values -------------------------------------------------------------
 IDLE_MS = 30_000
@@ -26,10 +26,8 @@ FAIL_EVENTS = ["JOB_FAIL", "TASK_FAIL"]
 
 
 def latest_per_key(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last change of every key: a ``max_by`` aggregate, combined map-side, so a hot key is no hot task."""
-    rest = F.struct(*[c for c in changes.columns if c not in keys])
-    last = F.max_by(rest, F.struct(*order)).alias("_last")
-    return changes.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*changes.columns)
+    """Last change of every key; changes that are equal in order count once."""
+    return best_per_key(changes, keys, order[0], [F.col(c).desc_nulls_last() for c in order])
 
 
 def cdc_apply(snapshot: DataFrame, changes: DataFrame, keys: list[str], op: str = "op", order: list[str] = ("ts", "seq")) -> DataFrame:

@@ -159,6 +159,19 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     return out.select(*[local[c] for c in df.columns], *found)
 
 
+def best_per_key(df: DataFrame, keys: list[str], by: str, order: list[Column]) -> DataFrame:
+    """One row per key: of those with the largest ``by``, the first along ``order``.
+
+    The largest value is a hash aggregate, combined map-side, whatever a key's share of the rows; only rows that reach it are
+    joined back and ordered, about one per key. NULL is the smallest value and a key like any other.
+    """
+    best = df.groupBy(*keys).agg(F.max(by).alias("_best"))
+    best = best.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_best")
+    met = df.join(best, _of_keys(df, best, keys) & df[by].eqNullSafe(best["_best"])).select(*[df[c] for c in df.columns])
+    w = W.partitionBy(*keys).orderBy(*order)
+    return met.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+
+
 def top_n_per_group(
     df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rn", keep: bool = True, salts: int = 256
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.shape import json_or_text
 from tideline.functions.sql_text import csv_items, explode_each, slow_query_id
-from tideline.operators.ordered import numbered
+from tideline.operators.ordered import best_per_key, numbered
 
 KEYWORD_COLUMNS = ["sql", "normalized_sql", "parameters", "method_name"]
 TRANSLATION_SCHEMA = "queryId string, originalSql string, translatedSql string, connHash string, updateTime bigint"
@@ -128,8 +128,8 @@ def tables_by_connection(log: DataFrame, conn: str | None = None) -> DataFrame:
 def slowest_per_statement(log: DataFrame, min_ms: int = 1000, methods: tuple[str, ...] = ("executeQuery",)) -> DataFrame:
     """Per statement id the run with the largest time; of equal times the earlier one.
 
-    A run counts when it is slow, or when it failed as a query. ``max_by`` combines map-side, so a
-    statement that makes up most of the log is no hot spot.
+    A run counts when it is slow, or when it failed as a query. The largest times are found first, so
+    a statement that makes up most of the log is no hot spot and only the runs that reach them are compared.
     """
     failed_query = F.coalesce(F.col("has_error"), F.lit(False)) & F.col("method_name").isin(*methods)
     # a failed call is kept only by way of the query method, whatever its time
@@ -137,10 +137,8 @@ def slowest_per_statement(log: DataFrame, min_ms: int = 1000, methods: tuple[str
         F.when(F.coalesce(F.col("has_error"), F.lit(False)), failed_query).otherwise(F.col("execution_time") >= min_ms)
     )
     kept = kept.withColumn("statement_id", slow_query_id("conn_hash", "sql"))
-    best = F.max_by(
-        F.struct(*[F.col(c) for c in log.columns]), F.struct("execution_time", -F.col("timestamp"), F.col("id"))
-    )
-    return kept.groupBy("statement_id").agg(best.alias("_r")).select("statement_id", "_r.*")
+    best = best_per_key(kept, ["statement_id"], "execution_time", [F.asc("timestamp"), F.desc("id")])
+    return best.select("statement_id", *log.columns)
 
 
 def table_heat(log: DataFrame, k: int = 5) -> DataFrame:

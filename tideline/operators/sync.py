@@ -86,30 +86,42 @@ def job_health(jobs: DataFrame, now: int) -> DataFrame:
 def sync_state_update(state: DataFrame, feed: DataFrame) -> DataFrame:
     """Fold a feed (job_name, job_id, state, ts, seq, database, table, conn_hash) into the state table.
 
-    The fold only needs the last event, the last known state and the last state other than FAILED, all
-    of them ``max_by`` aggregates, so the feed of one job may be of any length.
+    The fold only needs a few places of a job's feed: its last record, the last known state, the last state other than FAILED and
+    the first record that names each of database, table and connection. Places are (ts, seq) as one number, so finding them is a
+    hash aggregate, combined map-side, for feeds of any length; texts are then read at those places. Records of one place are the
+    same record; ts lies below 10^17, seq is not negative.
     """
     known = F.col("state").isin("SNAPSHOT_SYNCING", "INCREMENTAL_SYNCING", "INCREMENTAL_IDLE", "FAILED")
-    syncing = F.col("state").startswith("INCREMENTAL")
-    at = F.struct("ts", "seq")
-
-    def first(c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), at))
-
-    folded = feed.filter(F.col("job_name").isNotNull()).groupBy("job_name").agg(
-        F.max_by("job_id", at).alias("e_job"),
+    wide, one = "decimal(38,0)", F.lit(10).cast("decimal(2,0)")
+    at = F.col("ts").cast("decimal(17,0)") * F.expr("10000000000000000000BD") + F.col("seq").cast("decimal(19,0)")
+    rows = feed.filter(F.col("job_name").isNotNull()).withColumns({
+        "_at": at.cast(wide), "_syncing": F.col("state").startswith("INCREMENTAL").cast("int")
+    })
+    flagged = (F.col("_at") * one + F.col("_syncing")).cast(wide)
+    texts = ["database", "table", "conn_hash"]
+    places = rows.groupBy("job_name").agg(
         F.max("ts").alias("e_ts"),
-        F.max_by(syncing, F.when(known, at)).alias("e_ready"),
-        F.max_by(syncing, F.when(known & (F.col("state") != "FAILED"), at)).alias("e_snapshot"),
-        first("database").alias("e_db"),
-        first("table").alias("e_table"),
-        first("conn_hash").alias("e_conn"),
+        F.max("_at").alias("_last"),
+        F.max(F.when(known, flagged)).alias("_known"),
+        F.max(F.when(known & (F.col("state") != "FAILED"), flagged)).alias("_working"),
+        *[F.min(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_{c}_at") for c in texts],
+    )
+    met = rows.select("job_name", "_at", "job_id", *texts).join(places.select("job_name", "_last", *[f"_{c}_at" for c in texts]), "job_name")
+    met = met.filter(" OR ".join(["_at = _last", *[f"_at = _{c}_at" for c in texts]]))
+    read = met.groupBy("job_name").agg(
+        F.collect_set(F.when(F.col("_at") == F.col("_last"), F.col("job_id"))).alias("e_job"),
+        *[F.collect_set(F.when(F.col("_at") == F.col(f"_{c}_at"), F.col(c))).alias(f"e_{c}") for c in texts],
     )
+    folded = places.join(read, "job_name").select(
+        "job_name", "e_ts",
+        *[F.array_max(c).alias(c) for c in ("e_job", *[f"e_{t}" for t in texts])],
+        *[(F.col(c) % one == 1).alias(to) for c, to in (("_known", "e_ready"), ("_working", "e_snapshot"))],
+    )
     touched = F.col("e_ts").isNotNull()
     return state.join(folded, "job_name", "full_outer").select(
         "job_name",
-        F.coalesce("conn_hash", "e_conn").alias("conn_hash"),
-        F.coalesce("database", "e_db").alias("database"),
+        F.coalesce("conn_hash", "e_conn_hash").alias("conn_hash"),
+        F.coalesce("database", "e_database").alias("database"),
         F.coalesce("table_name", "e_table").alias("table_name"),
         F.when(touched, F.col("e_job")).otherwise(F.col("job_id")).alias("job_id"),
         "rule_id",
