@@ -498,3 +498,21 @@ def test_trend_over_a_gap(spark):
     out = {r["BillingMonth"]: r for r in revenue_trend(spark.createDataFrame(rows, "InvoiceDate timestamp, Total double").selectExpr("InvoiceDate", "CAST(Total AS decimal(12,2)) AS Total")).collect()}
     assert out["2020-04"]["DeltaPrevMonth"] is None and out["2020-05"]["DeltaPrevMonth"] == 10.0
     assert out["2020-04"]["RollingAvg3m"] == 30.0
+
+
+def test_listings_of_any_width_and_depth(spark):
+    import json
+
+    wide = [{"jobName": f"w{i}", "jobId": str(i), "jobs": [{"jobName": f"w{i}", "jobId": "inner"}, {"jobName": f"v{i}", "jobId": f"x{i}"}]} for i in range(10_000)]
+    deep: dict = {"jobName": "deep", "jobId": "20"}
+    for i in range(19, -1, -1):
+        deep = {"jobName": f"d{i}", "jobId": "[\"" + str(i), "jobs": [deep]}
+    listings = [(1, json.dumps(wide)), (2, json.dumps([deep, {"jobName": "w7", "jobId": "later"}])), (3, ""), (4, "not json"), (5, None), (6, "[]")]
+    df = spark.createDataFrame(listings, "pos int, json string")
+    out = jj.jobs_by_name(df, "json", "pos")
+    got = {r["job_name"]: r["job_id"] for r in out.collect()}
+    want = {f"w{i}": str(i) for i in range(10_000)} | {f"v{i}": f"x{i}" for i in range(10_000)} | {f"d{i}": f'["{i}' for i in range(20)}
+    assert got == want | {"deep": "20", "w7": "later"}
+    small = jj.jobs_by_name(df.filter("pos = 6"), "json", "pos")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert abs(plan(out) - plan(small)) <= 2  # as large for any data

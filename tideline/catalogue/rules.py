@@ -26,17 +26,31 @@ def _rules(spark, sf):
 # ---- rules and statements ----------------------------------------------------
 
 
-@query("rule_match", R + """SELECT DISTINCT rule_id, l.id AS statement_id FROM rt JOIN log_tables l ON l.conn_hash = rt.conn_hash AND l.tab = trim(raw) WHERE enabled
-UNION SELECT r.id, l.id FROM (SELECT id, conn_hash, unnest(slow_query_ids) AS sid FROM rules WHERE enabled AND len(tables) = 0) r
-JOIN log l ON l.id = r.sid AND l.conn_hash = r.conn_hash""")
+GROUPS = """g AS (SELECT conn_hash, table_names, count(*) AS n_statements FROM log GROUP BY ALL),
+gt AS (SELECT DISTINCT conn_hash, table_names, tab FROM log_tables)"""
+
+
+@query("rule_match", R + f""", {GROUPS}, h AS (SELECT DISTINCT gt.conn_hash, gt.table_names, CAST(NULL AS VARCHAR) AS statement_id, rule_id
+ FROM rt JOIN gt ON gt.conn_hash = rt.conn_hash AND gt.tab = trim(raw) WHERE enabled
+UNION ALL SELECT DISTINCT r.conn_hash, NULL, l.id, r.id FROM (SELECT id, conn_hash, unnest(slow_query_ids) AS sid FROM rules WHERE enabled AND len(tables) = 0) r
+JOIN log l ON l.id = r.sid AND l.conn_hash = r.conn_hash),
+b AS (SELECT *, (row_number() OVER (PARTITION BY conn_hash, table_names, statement_id ORDER BY rule_id) - 1) // 10 AS block FROM h)
+SELECT b.conn_hash, b.table_names, statement_id, block, string_agg(rule_id, ',' ORDER BY rule_id) AS rule_ids, any_value(COALESCE(n_statements, 1)) AS n_statements
+FROM b LEFT JOIN g ON g.conn_hash = b.conn_hash AND g.table_names = b.table_names GROUP BY 1, 2, 3, 4""")
 def rule_match(spark, sf):
-    return ru.rule_match(_rules(spark, sf), statement_log(spark, sf))
+    """The matches as groups; blocks are small here so that lists have several."""
+    out = ru.rule_groups(_rules(spark, sf), statement_log(spark, sf), 10)
+    return out.withColumn("rule_ids", F.array_join("rule_ids", ","))
 
 
-@query("matching_jobs", R + """SELECT DISTINCT rule_id, l.id AS statement_id, tab AS "table", job_ids[raw] AS job_id FROM rt
-JOIN log_tables l ON l.conn_hash = rt.conn_hash AND l.tab = trim(raw) WHERE job_ids[raw] IS NOT NULL""")
+@query("matching_jobs", R + f""", {GROUPS}, h AS (SELECT DISTINCT gt.conn_hash, gt.table_names, tab, rule_id, job_ids[raw] AS job_id FROM rt
+JOIN gt ON gt.conn_hash = rt.conn_hash AND gt.tab = trim(raw) WHERE job_ids[raw] IS NOT NULL),
+b AS (SELECT *, (row_number() OVER (PARTITION BY conn_hash, table_names, tab ORDER BY rule_id, job_id) - 1) // 10 AS block FROM h)
+SELECT b.conn_hash, b.table_names, tab AS "table", block, string_agg(rule_id || ':' || job_id, ',' ORDER BY rule_id, job_id) AS jobs, any_value(n_statements) AS n_statements
+FROM b JOIN g ON g.conn_hash = b.conn_hash AND g.table_names = b.table_names GROUP BY 1, 2, 3, 4""")
 def matching_jobs(spark, sf):
-    return ru.matching_jobs(_rules(spark, sf), statement_log(spark, sf))
+    out = ru.job_groups(_rules(spark, sf), statement_log(spark, sf), block=10)
+    return out.withColumn("jobs", F.array_join(F.transform("jobs", lambda j: F.concat_ws(":", j["rule_id"], j["job_id"])), ","))
 
 
 RESOLVED = """named AS (SELECT id, conn_hash, unnest(string_split(table_names, ',')) AS t, generate_subscripts(string_split(table_names, ','), 1) AS tp FROM log),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.sql_text import _col
+from tideline.operators.ordered import best_per_key
 
 _VERTICES = "$.jobDag.vertices"
 _VERTEX_MAP = "$.jobDag.vertexInfoMap"
@@ -42,39 +41,61 @@ def job_table(json: Column | str) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def jobs_by_name(df: DataFrame, json: str = "json", order: str = "pos") -> DataFrame:
-    """(job_name, job_id) from listings that may nest ``jobs`` lists; the last mention of a name wins.
+def _bracket_depth(text: Column) -> Column:
+    """How deep the lists of a JSON text nest."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]]", ""), "")
 
-    A listing is a list of jobs, one job, or an object with a ``jobs`` list, nested to any depth. Each
-    listing is one row; ``order`` tells which listing came later. One pass counts how often "jobs"
-    occurs in a listing, which bounds the depth.
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+_AFTER = 1 << 30  # sorts a job behind those listed inside it
+_JOBS = "struct<todo: array<struct<path: array<int>, json: string>>, found: array<struct<name: string, id: string, path: array<int>>>>"
+
+
+def listed_jobs(json: Column | str) -> Column:
+    """name, id and place of every job of a listing: ARRAY of structs.
+
+    A fold over the levels of the text: the jobs of one level are noted and the ``jobs`` lists inside them are the next level. The
+    expression is the same for any depth and any number of lists; a row is folded as often as its own lists nest.
     """
+    text = F.trim(_col(json))
+
     def as_items(c: Column) -> Column:
         return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
 
-    mentions = F.regexp_count(F.col(json), F.lit('"jobs"'))
-    levels = 1 + (df.agg(F.max(mentions)).first()[0] or 0)
-    level = df.select(F.col(order).alias("_o"), F.posexplode(as_items(F.trim(F.col(json)))).alias("_p0", "_v0"))
-    pos = ["_p0"]
-    found = []
-    for depth in range(levels):
-        v = F.col(f"_v{depth}")
-        path = [F.col(p) for p in pos] + [F.lit(1 << 30)] * (levels + 1 - len(pos))
-        found.append(
-            level.select(
-                F.get_json_object(v, "$.jobName").alias("job_name"),
-                F.get_json_object(v, "$.jobId").alias("job_id"),
-                F.struct(F.col("_o"), *[p.alias(f"p{i}") for i, p in enumerate(path)]).alias("_at"),
-            )
+    def entries(items: Column, path: Column) -> Column:
+        return F.transform(items, lambda v, i: F.struct(F.concat(path, F.array(i)).alias("path"), v.alias("json")))
+
+    def level(acc: Column, _: Column) -> Column:
+        inner = F.transform(
+            acc["todo"], lambda t: F.coalesce(entries(F.from_json(F.get_json_object(t["json"], "$.jobs"), "array<string>"), t["path"]), F.array())
         )
-        nested = F.from_json(F.get_json_object(v, "$.jobs"), "array<string>")
-        level = level.select(
-            "_o", *pos, F.posexplode(nested).alias(f"_p{depth + 1}", f"_v{depth + 1}")
+        jobs = F.transform(
+            acc["todo"],
+            lambda t: F.struct(
+                F.get_json_object(t["json"], "$.jobName").alias("name"), F.get_json_object(t["json"], "$.jobId").alias("id"),
+                F.concat(t["path"], F.array(F.lit(_AFTER))).alias("path"),
+            ),
         )
-        pos.append(f"_p{depth + 1}")
-    jobs = reduce(DataFrame.unionByName, found)
-    return (
-        jobs.filter(F.col("job_name").isNotNull() & F.col("job_id").isNotNull())
-        .groupBy("job_name")
-        .agg(F.max_by("job_id", "_at").alias("job_id"))
-    )
+        named = F.filter(jobs, lambda j: j["name"].isNotNull() & j["id"].isNotNull())
+        return F.struct(F.flatten(inner).alias("todo"), F.concat(acc["found"], named).alias("found")).cast(_JOBS)
+
+    start = F.struct(F.coalesce(entries(as_items(text), F.array().cast("array<int>")), F.array()).alias("todo"), F.array().alias("found")).cast(_JOBS)
+    rounds = F.sequence(F.lit(0), F.coalesce(_bracket_depth(text), F.lit(0)))
+    return F.aggregate(rounds, start, level, lambda acc: acc["found"])
+
+
+def jobs_by_name(df: DataFrame, json: str = "json", order: str = "pos") -> DataFrame:
+    """(job_name, job_id) from listings that may nest ``jobs`` lists; the last mention of a name wins.
+
+    A listing is a list of jobs, one job, or an object with a ``jobs`` list, nested to any depth. Each
+    listing is one row; ``order`` tells which listing came later.
+    """
+    jobs = df.select(F.col(order).alias("_o"), F.explode(listed_jobs(json)).alias("_j"))
+    jobs = jobs.select("_o", F.col("_j.name").alias("job_name"), F.col("_j.id").alias("job_id"), F.col("_j.path").alias("_path"))
+    return best_per_key(jobs, ["job_name"], "_o", [F.desc("_path")]).select("job_name", "job_id")

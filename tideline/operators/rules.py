@@ -19,49 +19,71 @@ def _norm(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def _statement_tables(statements: DataFrame) -> DataFrame:
-    return explode_each(
-        statements, F.array_distinct(csv_items("table_names")), "table", F.col("id").alias("statement_id"), "conn_hash"
-    )
-
-
 def _rule_tables(rules: DataFrame) -> DataFrame:
     return rules.select(
         F.col("id").alias("rule_id"), "conn_hash", F.explode("tables").alias("raw"), "job_ids"
     ).withColumn("table", F.trim("raw"))
 
 
-def rule_match(rules: DataFrame, statements: DataFrame) -> DataFrame:
-    """(rule_id, statement_id) of every match.
+def _groups(statements: DataFrame, *by: str) -> DataFrame:
+    """Statements with one list of tables: all that rules can tell apart by table. (by, table_names, table, n_statements)."""
+    groups = statements.groupBy(*by, "table_names").agg(F.count(F.lit(1)).alias("n_statements"))
+    return explode_each(groups, F.array_distinct(csv_items("table_names")), "table", *by, "table_names", "n_statements")
+
 
-    A rule with tables matches by table name (exact case), never by id; only a rule without tables
-    matches by id. Two equi joins instead of pairing all rules and statements of a connection.
+def rule_groups(rules: DataFrame, statements: DataFrame, block: int = 1000) -> DataFrame:
+    """Every match, as groups: (conn_hash, table_names, statement_id, block, rule_ids, n_statements).
+
+    A rule with tables matches by table name (exact case), never by id; only a rule without tables matches by id. Statements of a
+    connection with the same ``table_names`` are matched by the same rules, so they are matched once: a group lists its rules in
+    blocks of bounded size. Matches by id have a ``statement_id`` and no ``table_names``. The result grows with the rules and the
+    different table lists, not with pairs of rules and statements; :func:`expand_groups` writes these out.
     """
     live = rules.filter(F.col("enabled"))
-    by_table = (
-        _rule_tables(live).select("rule_id", "conn_hash", "table").distinct()
-        .join(_statement_tables(statements), ["conn_hash", "table"])
-        .select("rule_id", "statement_id")
-        .distinct()
-    )
+    by_table = _rule_tables(live).select("rule_id", "conn_hash", "table").distinct().join(_groups(statements, "conn_hash"), ["conn_hash", "table"])
+    none = F.lit(None).cast("string")
+    by_table = by_table.select("conn_hash", "table_names", none.alias("statement_id"), "n_statements", "rule_id").distinct()
     by_id = (
         live.filter(F.size("tables") == 0)
         .select(F.col("id").alias("rule_id"), "conn_hash", F.explode(F.array_distinct("slow_query_ids")).alias("statement_id"))
         .join(statements.select(F.col("id").alias("statement_id"), "conn_hash"), ["conn_hash", "statement_id"])
-        .select("rule_id", "statement_id")
+        .select("conn_hash", none.alias("table_names"), "statement_id", F.lit(1).cast("long").alias("n_statements"), "rule_id")
     )
-    return by_table.unionByName(by_id)
+    return in_blocks(by_table.unionByName(by_id), ["conn_hash", "table_names", "statement_id"], "rule_id", "rule_ids", block, ["n_statements"])
+
+
+def expand_groups(groups: DataFrame, statements: DataFrame, item: str = "rule_ids") -> DataFrame:
+    """(statement_id, one element of ``item``) of every match that the groups stand for."""
+    s = statements.select(F.col("id").alias("_id"), "conn_hash", "table_names")
+    by_table = groups.filter(F.col("table_names").isNotNull()).join(s, ["conn_hash", "table_names"]).withColumn("statement_id", F.col("_id"))
+    kept = ["statement_id", F.explode(item).alias("_item")]
+    return by_table.select(*kept).unionByName(groups.filter(F.col("statement_id").isNotNull()).select(*kept))
+
+
+def rule_match(rules: DataFrame, statements: DataFrame) -> DataFrame:
+    """(rule_id, statement_id) of every match: the groups of :func:`rule_groups` written out."""
+    return expand_groups(rule_groups(rules, statements), statements).select(F.col("_item").alias("rule_id"), "statement_id")
+
+
+def job_groups(rules: DataFrame, statements: DataFrame, same_connection: bool = True, block: int = 1000) -> DataFrame:
+    """Jobs of those rule tables that occur in statements, per group as in :func:`rule_groups`.
+
+    (conn_hash, table_names, table, block, jobs ARRAY of (rule_id, job_id), n_statements); conn_hash only with ``same_connection``.
+    The job map is read under the rule's spelling of the table.
+    """
+    jobs = _rule_tables(rules).withColumn("job_id", F.try_element_at("job_ids", F.col("raw"))).filter(F.col("job_id").isNotNull())
+    by = ["conn_hash"] if same_connection else []
+    jobs = jobs.select(*by, "table", F.struct("rule_id", "job_id").alias("job")).distinct()
+    met = jobs.join(_groups(statements, *by), [*by, "table"])
+    return in_blocks(met, [*by, "table_names", "table"], "job", "jobs", block, ["n_statements"])
 
 
 def matching_jobs(rules: DataFrame, statements: DataFrame, same_connection: bool = True) -> DataFrame:
-    """Jobs of those rule tables that occur in a statement; the job map is read under the rule's spelling."""
-    jobs = _rule_tables(rules).withColumn("job_id", F.try_element_at("job_ids", F.col("raw"))).filter(
-        F.col("job_id").isNotNull()
-    )
-    names = _statement_tables(statements)
-    keys = ["conn_hash", "table"] if same_connection else ["table"]
-    left = jobs.select("rule_id", *keys, "job_id").distinct()
-    return left.join(names.select("statement_id", *keys), keys).select("rule_id", "statement_id", "table", "job_id")
+    """(rule_id, statement_id, table, job_id): the groups of :func:`job_groups` written out."""
+    by = ["conn_hash"] if same_connection else []
+    groups = job_groups(rules, statements, same_connection).select(*by, "table_names", "table", F.explode("jobs").alias("job"))
+    met = groups.join(statements.select(F.col("id").alias("statement_id"), *by, "table_names"), [*by, "table_names"])
+    return met.select("job.rule_id", "statement_id", "table", "job.job_id")
 
 
 def resolve_tables(rules: DataFrame, statements: DataFrame) -> DataFrame:
@@ -148,16 +170,16 @@ def job_status(
     return joined.select("rule_id", "table", "job_name", "stored_job_id", "live_job_id", status.alias("status"))
 
 
-def in_blocks(pairs: DataFrame, key: str, item: str, name: str, block: int = 1000) -> DataFrame:
-    """Sorted lists of at most ``block`` items per key, numbered from 0."""
-    placed = numbered(pairs, [key], [item], "_rn").withColumn("block", F.floor((F.col("_rn") - 1) / block).cast("long"))
-    return placed.groupBy(key, "block").agg(F.array_sort(F.collect_list(item)).alias(name))
+def in_blocks(pairs: DataFrame, keys: list[str], item: str, name: str, block: int = 1000, also: list[str] = ()) -> DataFrame:
+    """Sorted lists of at most ``block`` items per key, numbered from 0; ``also`` are columns that a key decides."""
+    placed = numbered(pairs, keys, [item], "_rn").withColumn("block", F.floor((F.col("_rn") - 1) / block).cast("long"))
+    return placed.groupBy(*keys, *also, "block").agg(F.array_sort(F.collect_list(item)).alias(name))
 
 
 def rules_by_table(rules: DataFrame, block: int = 1000) -> DataFrame:
     """Index table -> rule ids; long lists continue in further blocks."""
     pairs = rules.select(F.explode("tables").alias("table"), F.col("id").alias("rule_id")).distinct()
-    return in_blocks(pairs, "table", "rule_id", "rule_ids", block)
+    return in_blocks(pairs, ["table"], "rule_id", "rule_ids", block)
 
 
 def tables_of_queries(statements: DataFrame, rules: DataFrame, conns: list[str] | None = None) -> DataFrame:
