@@ -48,8 +48,8 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str]) -> Sliced:
-    """The rows in slices of at most about ``tideline.slice.rows``.
+def sliced(df: DataFrame, keys: list[str], order: list, foldered: bool = False) -> Sliced:
+    """The rows in slices of at most about ``tideline.slice.rows``; ``foldered``: in a folder each, so that some can be read alone.
 
     The session's shuffle partitions are tried first, which adaptive execution may join; only where they come out too large are
     the written rows dealt again, into as many slices as the target asks for. Rows equal in keys and order stay together.
@@ -58,7 +58,7 @@ def sliced(df: DataFrame, keys: list[str], order: list[str]) -> Sliced:
     by = [*keys, *order]
 
     def write(d: DataFrame, *n: int) -> tuple[DataFrame, int, int, int]:
-        out = stored(d.repartitionByRange(*n, *by).withColumn(SLICE, F.spark_partition_id()), "slices")
+        out = stored(d.repartitionByRange(*n, *by).withColumn(SLICE, F.spark_partition_id()), "slices", SLICE if foldered else None)
         sizes = out.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"))
         return out, *sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from tideline.operators.ordered import numbered, top_n_per_group
+from tideline.operators.pages import rows_between
 
 # ---- filters -----------------------------------------------------------------
 
@@ -129,8 +130,9 @@ def rownum_limit(df: DataFrame, n: int, order: list) -> DataFrame:
 
 def rownum_page(df: DataFrame, lo: int, hi: int, order: list) -> DataFrame:
     """Rows lo..hi (1-based) of the ordered table with their number."""
-    head = df.orderBy(*order).limit(hi)
-    return head.withColumn("rownum", F.row_number().over(W.orderBy(*order))).filter(F.col("rownum") >= lo)
+    lo = max(lo, 1)
+    rows = rows_between(df, lo - 1, hi, order)
+    return rows.withColumn("rownum", F.row_number().over(W.orderBy(*order)) + F.lit(lo - 1))  # the rows of the page
 
 
 def offset_delta(samples: DataFrame, by: list[str], ts: str, value: str, seconds: int = 60) -> DataFrame:
@@ -161,7 +163,7 @@ def top_k_per_instant(samples: DataFrame, ts: str, order: list[Column], k: int =
 def page(df: DataFrame, page_no: int, size: int, order: list) -> DataFrame:
     """One page; totals come from :func:`page_totals`, so listing a page does not count the table."""
     page_no, size = max(page_no, 1), max(size, 1)
-    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+    return rows_between(df, (page_no - 1) * size, page_no * size, order)
 
 
 def page_totals(df: DataFrame, size: int) -> DataFrame:

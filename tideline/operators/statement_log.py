@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.functions.shape import json_or_text
 from tideline.functions.sql_text import csv_items, explode_each, slow_query_id
 from tideline.operators.ordered import best_per_key, numbered
+from tideline.operators.pages import rows_between
 
 KEYWORD_COLUMNS = ["sql", "normalized_sql", "parameters", "method_name"]
 TRANSLATION_SCHEMA = "queryId string, originalSql string, translatedSql string, connHash string, updateTime bigint"
@@ -70,7 +71,7 @@ def slow_query_page(df: DataFrame, page: int, size: int, **filters) -> DataFrame
     page, size = max(page, 1), max(size, 1)
     hits = slow_query_search(df, **filters)
     total = hits.agg(F.count(F.lit(1)).alias("total")).scalar()
-    rows = hits.orderBy(F.desc("execution_time"), "id").offset((page - 1) * size).limit(size)
+    rows = rows_between(hits, (page - 1) * size, page * size, [F.desc("execution_time"), "id"])
     return (
         rows.withColumn("total", total)
         .withColumn("total_pages", F.ceil(F.col("total") / F.lit(size)).cast("long"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline.operators.ordered import numbered
+from tideline.operators.pages import rows_between
 
 MONEY = "decimal(18,4)"
 
@@ -117,7 +118,7 @@ def paged_list(
     """0-based page with the total number of rows; a user filter wins over a product filter."""
     rows = reviews_of(df, product, user)
     total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return rows.orderBy(*order).offset(page_no * size).limit(size).withColumn("total", total)
+    return rows_between(rows, page_no * size, (page_no + 1) * size, order).withColumn("total", total)
 
 
 def order_total(items: DataFrame, products: DataFrame) -> DataFrame:

@@ -46,8 +46,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: they are computed once and survive the loss of executors."""
+def stored(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+    """The rows written once to the shared folder and read again: they are computed once and survive the loss of executors.
+
+    ``by``: the column whose values get a folder each.
+    """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
