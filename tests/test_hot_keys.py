@@ -105,3 +105,20 @@ def test_breaker_matches_a_loop(hot, seed):
             n, until = (0, 0) if ok else (n + 1, max(until, ts + 60) if n + 1 >= 3 else until)
         state[key] = (n, until)
         assert got[i] == (refused, n)
+
+
+def test_many_rows_per_instant(hot):
+    """Above 1000 rows a group, with a map beside the order columns."""
+    from tideline.operators import relational, series
+
+    rng = random.Random(3)
+    rows = [(f"2024-01-01 00:0{i % 3}:00", "m", {"host": f"h{i}", "zone": "z"}, rng.choice([1.0, 2.0, float(i)])) for i in range(7000)]
+    samples = hot.createDataFrame(rows, "ts string, name string, labels map<string,string>, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {(str(r["ts"]), r["place"], r["labels"]["host"]) for r in series.topk(samples, 2000).collect()}
+    want = set()
+    for ts in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == ts), key=lambda r: (-r[3], sorted(r[2].items())))
+        want |= {(ts, i, r[2]["host"]) for i, r in enumerate(group[:2000], start=1)}
+    assert got == want and len(got) == 6000
+    few = relational.top_k_per_instant(samples, "ts", [F.desc("value"), F.asc(F.col("labels")["host"])], 1500)
+    assert few.groupBy("ts").count().filter("count = 1500").count() == 3

@@ -247,3 +247,30 @@ def test_a_replayed_fold_starts_from_the_states_before_it(spark):
     second = ordered_fold(b, ["job_id"], ["ts", "seq"], step, schema, states)
     want = cdc.sync_monitor(records, "job_id").filter(F.col("seq") >= half)
     assert rows(second) == rows(want)
+
+
+def test_counter_steps_wait_for_late_samples(spark):
+    import random
+
+    stf.use_rocksdb(spark)
+    root = shared_dir(spark, "t-counter")
+    rng = random.Random(4)
+    rows_ = []
+    for series_, start in (("a", 10**6), ("b", 10**6 + 5)):
+        value = 0.0
+        for t in range(200):
+            value = 0.0 if rng.random() < 0.05 else value + rng.randrange(4)
+            rows_.append((start + 10 * t, "c", {"x": series_} if series_ == "a" else {}, value))
+    order = sorted(range(len(rows_)), key=lambda i: rows_[i][0] + rng.choice([0, 0, 0, 250]))  # up to 250 s late
+    schema = "sec long, name string, labels map<string,string>, value double"
+    for k in range(0, len(order), 80):
+        part = spark.createDataFrame([rows_[i] for i in order[k : k + 80]], schema).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    end = spark.createDataFrame([(10**9, "end", {}, 0.0)], schema).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    end.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    steps = stf.counter_steps_stream(stream, "600 seconds")
+    finish(sk.append_sink(steps, f"{root}/out", f"{root}/cp"))
+    samples = spark.createDataFrame(rows_, schema).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    want = series.counter_steps(samples).select("name", "_labels", "ts", "value", "step")
+    assert rows(spark.read.parquet(f"{root}/out")) == rows(want)

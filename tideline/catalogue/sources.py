@@ -6,10 +6,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tideline.bindings import RECORDS_SQL, cdc_records, statement_log, table
+from tideline.bindings import RECORDS_SQL, cdc_records, counters, statement_log, table
 from tideline.catalogue.base import query
 from tideline.catalogue.cdc import APPLIED, SHOWN, _fold, order_changes, order_snapshot
 from tideline.catalogue.health import BREAKER, EWMA, breaker_calls
+from tideline.catalogue.series import K, STEPS, WINDOWED, _r, _text
+from tideline.operators import series as se
 from tideline.operators.cdc import MONITOR_SCHEMA
 from tideline.session import shared_dir
 from tideline.sources import catalog as ct, changes as ch, sinks as sk, snapshot as sn
@@ -236,3 +238,27 @@ def breaker_stream(spark, sf):
     stream = _in_time_order(spark, calls, root, F.floor(F.col("event_id") * 3 / _size(calls, "event_id")))
     _run(fo.breaker_stream(stream, "key", ["ts", "event_id"], "ok", f"{root}/out", f"{root}/cp"))
     return spark.read.parquet(f"{root}/out/rows").drop("batch_id")
+
+
+def _late_counters(spark, sf, root):
+    """The counters in batches of five days; every seventh sample arrives a batch late. A last sample, years on, moves the watermark."""
+    samples, files = counters(spark, sf), 4
+    late = (F.unix_micros("ts") % 7 == 0).cast("int")
+    batch = F.floor(F.dayofmonth("ts") / 5).cast("int") + late
+    last = samples.limit(1).withColumn("ts", F.lit("2099-01-01").cast("timestamp")).withColumn("name", F.lit("heartbeat"))
+    for i in range(8):
+        samples.filter(batch == i).repartition(files).write.mode("append").parquet(f"{root}/in")
+    last.write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+
+
+@query("counter_rate_stream", K + f", {STEPS} " + WINDOWED.format(agg="round(sum(step) / 3600, 9)"))
+def counter_rate_stream(spark, sf):
+    """counter_rate over a stream with late samples: steps behind the watermark go to a sink, windows are taken of the sink."""
+    stf.use_rocksdb(spark)
+    root = shared_dir(spark, "counter-steps")
+    steps = stf.counter_steps_stream(_late_counters(spark, sf, root), "11 days")
+    with _local_state_partitions(spark):
+        _run(sk.append_sink(steps, f"{root}/out", f"{root}/cp"))
+    rates = se.increase_of_steps(spark.read.parquet(f"{root}/out"), 3600, 900).withColumn("value", F.col("value") / 3600)
+    return _text(rates, _r("value", 9))

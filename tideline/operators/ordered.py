@@ -173,19 +173,24 @@ def best_per_key(df: DataFrame, keys: list[str], by: str, order: list[Column]) -
 
 
 def top_n_per_group(
-    df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rn", keep: bool = True, salts: int = 256
+    df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rn", keep: bool = True
 ) -> DataFrame:
     """First ``n`` rows of each group.
 
-    Up to 1000 Spark itself limits the groups before the shuffle; above that the groups are salted, each
-    salt keeps its first ``n``, and the second pass sees n rows per salt at most.
+    Up to 1000 Spark itself limits the groups before the shuffle. Above that the rows are dealt in slices along (group, order): a
+    row's place is its place in the slice plus the group's rows in the slices before, so a group is cut at its n-th row wherever
+    that lies. Only group and order columns are compared, the others may be of any type.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    if n > 1000:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        ws = W.partitionBy(*by, "_salt").orderBy(*order)
-        df = salted.withColumn("_rn", F.row_number().over(ws)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
-    out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    if n <= 1000:
+        out = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= n)
+        return out if keep else out.drop(name)
+    s = sliced(df, by, order)
+    local = s.df.withColumn("_place", F.row_number().over(W.partitionBy(*by, SLICE).orderBy(*order))).filter(F.col("_place") <= n)
+    if s.slices > 1:
+        carry = _carried(s, by, {"n": (F.sum, F.lit(1))})
+        met = local.join(carry, (local[SLICE] == carry["_k_slice"]) & _of_keys(local, carry, by), "left")
+        local = met.withColumn("_place", F.col("_place") + F.coalesce("_c_n", F.lit(0))).select(*local.columns)
+    out = local.filter(F.col("_place") <= n).withColumn(name, F.col("_place").cast("int")).drop(SLICE, "_place")
     return out if keep else out.drop(name)
 
 

@@ -92,9 +92,14 @@ def counter_steps(samples: DataFrame) -> DataFrame:
     return lagged.withColumn("step", F.coalesce(step, F.lit(0.0)))
 
 
+def increase_of_steps(steps: DataFrame, window: int, step: int) -> DataFrame:
+    """Increase over the trailing ``window`` seconds at every ``step``, from :func:`counter_steps` or its stream."""
+    return _restore(_windows(steps, ["name", "_labels"], "step", window, step, F.sum))
+
+
 def counter_increase(samples: DataFrame, window: int, step: int) -> DataFrame:
     """Increase over the trailing ``window`` seconds at every ``step``."""
-    return _restore(_windows(counter_steps(samples), ["name", "_labels"], "step", window, step, F.sum))
+    return increase_of_steps(counter_steps(samples), window, step)
 
 
 def counter_rate(samples: DataFrame, window: int, step: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tideline.operators.cdc import MONITOR_SCHEMA, monitor_row, monitor_step, new_monitor_state
+from tideline.operators.series import label_key
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("s", T.StringType())])
@@ -116,3 +117,78 @@ def sync_monitor_stream(records: DataFrame, key: str, order: list[str] = ("ts",
     return narrow.groupBy(key).transformWithStateInPandas(
         statefulProcessor=MonitorProcessor(key, order, compat), outputStructType=schema, outputMode="Append", timeMode="None"
     )
+
+
+class CounterProcessor(StatefulProcessor):
+    """Holds the samples of a series until the watermark has passed them, then counts their steps in order of time.
+
+    State: the samples that wait, by time; the value of the last one counted; the time the next timer is set for. A series waits
+    for as many samples as it has within the allowed lateness.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        one = lambda name, kind: T.StructType([T.StructField(name, kind)])
+        self.waiting = handle.getMapState("waiting", one("at", T.LongType()), one("value", T.DoubleType()))
+        self.last = handle.getValueState("last", one("value", T.DoubleType()))
+        self.timer = handle.getValueState("timer", one("ms", T.LongType()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            if part.empty:  # a key whose timer is due comes without rows, and without columns
+                continue
+            for at, value in zip(part["micros"].tolist(), part["value"].tolist()):
+                self.waiting.updateValue((at,), (value,))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self._wake(first)
+        yield from ()
+
+    def _wake(self, at: int) -> None:
+        """A timer for the time of a sample, unless an earlier one is set."""
+        ms = -(-at // 1000)
+        if self.timer.exists():
+            if self.timer.get()[0] <= ms:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        samples = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for at, value in samples:
+            if at > passed:
+                self._wake(at)
+                break
+            out.append((key[0], at, value, 0.0 if last is None else value - last if value >= last else value))
+            last = value
+            self.waiting.removeKey((at,))
+        if out:
+            self.last.update((last,))
+            yield pd.DataFrame(out, columns=["series", "micros", "value", "step"])
+
+    def close(self) -> None:
+        pass
+
+
+def counter_steps_stream(samples: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """:func:`tideline.operators.series.counter_steps` of a stream of samples (ts, name, labels, value).
+
+    A step is counted once no earlier sample of its series may come any more, so samples out of order and resets between them are
+    right; samples later than ``late`` (and of 1970 or before) are dropped. One of two samples of a series and time counts. Steps leave in the order of
+    time per series, a batch behind the watermark.
+    """
+    rows = samples.withWatermark("ts", late).select(
+        F.to_json(F.struct("name", label_key("labels").alias("labels"))).alias("series"), "ts", F.unix_micros("ts").alias("micros"),
+        F.col("value").cast("double").alias("value"),
+    )
+    steps = rows.groupBy("series").transformWithStateInPandas(
+        statefulProcessor=CounterProcessor(), outputStructType="series string, micros long, value double, step double",
+        outputMode="Append", timeMode="EventTime",
+    )
+    named = F.from_json("series", "name string, labels array<struct<key: string, value: string>>")
+    return steps.select(named["name"].alias("name"), named["labels"].alias("_labels"), F.timestamp_micros("micros").alias("ts"), "value", "step")
