@@ -12,7 +12,7 @@ from tideline.operators import cdc, health, series
 from tideline.session import shared_dir
 from tideline.sources import changes as ch, sinks as sk
 from tideline.sources.replica import Replica
-from tideline.streaming import stateful as stf
+from tideline.streaming import fold, stateful as stf
 
 
 def feed(spark, df, root, order, parts):
@@ -154,25 +154,38 @@ def test_monitor_stream_equals_batch(spark, parts):
     assert rows(got) == rows(cdc.sync_monitor(records, "job_id").select(*got.columns))
 
 
-def test_ewma_stream_equals_batch(spark):
-    stf.use_rocksdb(spark)
-    root = shared_dir(spark, "t-ewma")
-    log = statement_log(spark, SMALL).select("client_uuid", "execution_time", "timestamp", F.col("id").cast("long").alias("id"))
-    stream = feed(spark, log, root, ["timestamp", "id"], 3)
-    out = stf.ewma_stream(stream, "client_uuid", "execution_time", ["timestamp", "id"])
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/b={batch_id}")
-
-    q = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-    finish(q)
-    got = spark.read.parquet(f"{root}/out").groupBy("client_uuid").agg(F.max_by("ewma", "executions").alias("ewma"), F.max("executions").alias("n"))
+@pytest.mark.parametrize("parts", [1, 3])
+def test_ewma_stream_equals_batch(hot, parts):
+    root = shared_dir(hot, "t-ewma")
+    log = statement_log(hot, SMALL).select("client_uuid", "execution_time", "timestamp", F.col("id").cast("long").alias("id"))
+    stream = feed(hot, log, root, ["timestamp", "id"], parts)
+    finish(fold.ewma_stream(stream, "client_uuid", "execution_time", ["timestamp", "id"], f"{root}/out", f"{root}/cp", buckets=4))
     want = {r["client_uuid"]: r for r in health.ewma_per_statement(log, "client_uuid", "execution_time", ["timestamp", "id"]).collect()}
-    for r in got.collect():
-        assert r["n"] == want[r["client_uuid"]]["executions"]
+    got = sk.read_replica(hot, f"{root}/out").collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["executions"] == want[r["client_uuid"]]["executions"]
         assert r["ewma"] == pytest.approx(want[r["client_uuid"]]["ewma"], rel=1e-9)
 
 
+def test_retained_events_leave_as_newer_ones_arrive(spark):
+    root = shared_dir(spark, "t-retain")
+    data = [(i, None if i % 5 == 0 else f"s{i % 3}", 100 * (i * 37 % 60)) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, s string, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    for k in range(4):
+        part = df.filter(F.col("id").between(15 * k, 15 * k + 14))
+        part.unionByName(df.filter(F.col("id") == 15 * k)).unionByName(df.filter(F.col("id") == 3)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    for name, n, by, age in [("subject", 4, ["s"], None), ("all", 7, [], None), ("both", 3, ["s"], "20 minutes"), ("age", None, [], "20 minutes")]:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        finish(fold.retain_stream(stream, ["id"], ["ts"], f"{root}/{name}", f"{root}/cp-{name}", n, by, age, buckets=2))
+        keep = [r for r in data if not age or r[2] >= max(x[2] for x in data) - 1200]
+        groups: dict = {}
+        for r in sorted(keep, key=lambda r: -r[2]):
+            groups.setdefault(r[1] if by else 0, []).append(r[0])
+        want = {i for g in groups.values() for i in (g if n is None else g[:n])}
+        assert {r["id"] for r in sk.read_replica(spark, f"{root}/{name}").collect()} == want, name
+
+
 def test_duplicates_within_the_window_of_arrival(spark):
     root = shared_dir(spark, "t-dedup")
     schema = "id string, ts timestamp"
@@ -222,8 +235,6 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_fold_stream_goes_on_after_a_restart(hot):
     """Two runs from one checkpoint, new files in between; hot keys are cut into slots."""
-    from tideline.streaming import fold
-
     root = shared_dir(hot, "t-fold")
     records = cdc_records(hot, SMALL)
     half = records.count() // 2

@@ -77,17 +77,6 @@ def retain_max_age(spark, sf):
     return cdc.retain_max_age(table(spark, sf, "events"), now).select("event_id")
 
 
-@query("stream_union", """SELECT event_type AS subject, epoch_us(ts) AS us, event_id AS seq, value, NULL AS k FROM events
-UNION ALL SELECT 'props', epoch_us(ts), event_id, NULL, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) FROM events""")
-def stream_union(spark, sf):
-    from tideline.sources.changes import stream_union as union
-
-    ev = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    a = ev.select(F.col("event_type").alias("subject"), "us", F.col("event_id").alias("seq"), "value")
-    b = ev.select(F.lit("props").alias("subject"), "us", F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return union(a, b)
-
-
 # ---- state machine -----------------------------------------------------------
 
 FOLD = """WITH RECURSIVE {records}, rec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS rn FROM records WHERE {where}),

@@ -203,22 +203,12 @@ def _size(df, col):
 
 @query("ewma_stream", EWMA + "SELECT client_uuid, round(ewma, 4) AS ewma, executions FROM e")
 def ewma_stream(spark, sf):
-    """Running averages over three micro-batches; the last one per key is kept by the keyed replica."""
-    stf.use_rocksdb(spark)
+    """Running averages over three micro-batches, kept by the keyed replica."""
     root = shared_dir(spark, "ewma")
     log = statement_log(spark, sf).select("client_uuid", "execution_time", "timestamp", F.col("id").cast("long").alias("id"))
     stream = _in_time_order(spark, log, root, F.floor(F.col("id") * 3 / _size(log, "id")))
-    averages = stf.ewma_stream(stream, "client_uuid", "execution_time", ["timestamp", "id"])
-    changed = averages.select(F.lit("u").alias("_op"), F.col("executions").alias("_ts"), F.lit(0).cast("long").alias("_seq"), "*")
-
-    def write(batch, batch_id):
-        sk.apply_changes(batch, batch_id, f"{root}/out", ["client_uuid"], buckets=BUCKETS)
-
-    writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/cp")
-    with _local_state_partitions(spark):
-        _run(writer.trigger(availableNow=True).start())
-    out = sk.read_replica(spark, f"{root}/out")
-    return out.select("client_uuid", F.round("ewma", 4).alias("ewma"), "executions")
+    _run(fo.ewma_stream(stream, "client_uuid", "execution_time", ["timestamp", "id"], f"{root}/out", f"{root}/cp", buckets=BUCKETS))
+    return sk.read_replica(spark, f"{root}/out").select("client_uuid", F.round("ewma", 4).alias("ewma"), "executions")
 
 
 @query("monitor_fold_stream", _fold("true") + SHOWN)
@@ -262,3 +252,57 @@ def counter_rate_stream(spark, sf):
         _run(sk.append_sink(steps, f"{root}/out", f"{root}/cp"))
     rates = se.increase_of_steps(spark.read.parquet(f"{root}/out"), 3600, 900).withColumn("value", F.col("value") / 3600)
     return _text(rates, _r("value", 9))
+
+
+@query("stream_union", """SELECT event_type AS subject, epoch_us(ts) AS us, event_id AS seq, value, NULL AS k FROM events
+UNION ALL SELECT 'props', epoch_us(ts), event_id, NULL, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) FROM events""")
+def stream_union(spark, sf):
+    """Two feeds, the second a third of the time behind the first and sent in part twice; repeated records leave by the watermark
+    of both."""
+    root = shared_dir(spark, "union")
+    ts, seq = F.col("ts").cast("timestamp"), F.col("event_id").alias("seq")
+    ev = table(spark, sf, "events")
+    a = ev.select(F.col("event_type").alias("subject"), ts.alias("ts"), seq, "value")
+    b = ev.select(F.lit("props").alias("subject"), ts.alias("ts"), seq, F.get_json_object("props", "$.k").cast("int").alias("k"))
+    day = F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")
+    b = b.unionByName(b.filter(F.col("seq") % 9 == 0))
+    first = _in_time_order(spark, a, f"{root}/a", day)
+    second = _in_time_order(spark, b, f"{root}/b", F.floor((F.dayofmonth("ts") - 1) / 5).cast("int"), 6)
+    feeds = ch.stream_union(first, second, watermarks=[("ts", "1 day"), ("ts", "2 days")])
+    with _local_state_partitions(spark):
+        _run(sk.append_sink(feeds.dropDuplicatesWithinWatermark(["subject", "seq"]), f"{root}/out", f"{root}/cp"))
+    return spark.read.parquet(f"{root}/out").select("subject", F.unix_micros("ts").alias("us"), "seq", "value", "k")
+
+
+@query("retain_last_n_stream", """SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn
+FROM events) WHERE rn <= 1500""")
+def retain_last_n_stream(spark, sf):
+    """The newest events per type while batches arrive, every other record out of its time."""
+    root = shared_dir(spark, "retain")
+    ev = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    cut = F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 3 / _size(ev, "event_id")).otherwise(F.col("event_id") % 3)
+    stream = _in_time_order(spark, ev, root, F.floor(cut))
+    _run(fo.retain_stream(stream, ["event_id"], ["ts", "event_id"], f"{root}/out", f"{root}/cp", 1500, ["event_type"], buckets=BUCKETS))
+    return sk.read_replica(spark, f"{root}/out").select("event_id", "event_type")
+
+
+@query("retain_max_age_stream", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR")
+def retain_max_age_stream(spark, sf):
+    root = shared_dir(spark, "retain-age")
+    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream = _in_time_order(spark, ev, root, F.floor(F.col("event_id") * 3 / _size(ev, "event_id")))
+    _run(fo.retain_stream(stream, ["event_id"], ["ts"], f"{root}/out", f"{root}/cp", max_age="36 hours", buckets=BUCKETS))
+    return sk.read_replica(spark, f"{root}/out").select("event_id")
+
+
+@query("state_change_feed_stream", _fold("true") + "SELECT job_id, ts, seq, state FROM fold WHERE rn > 0 AND pub ORDER BY ts DESC, seq DESC LIMIT 1000")
+def state_change_feed_stream(spark, sf):
+    """Published transitions of the stateful monitor, of which the newest thousand are retained as they arrive."""
+    stf.use_rocksdb(spark)
+    root = shared_dir(spark, "state-feed")
+    records = cdc_records(spark, sf)
+    stream = _in_time_order(spark, records, root, F.floor(F.col("seq") * 3 / _size(records, "seq")))
+    feed = stf.sync_monitor_stream(stream, "job_id").filter("published").select("job_id", "ts", "seq", "state")
+    with _local_state_partitions(spark):
+        _run(fo.retain_stream(feed, ["job_id", "ts", "seq"], ["ts", "seq", "job_id"], f"{root}/out", f"{root}/cp", 1000, buckets=BUCKETS))
+    return sk.read_replica(spark, f"{root}/out")

@@ -118,27 +118,36 @@ def speedup(df: DataFrame, by: list[str] = (), kind: str = "kind", value: str =
     return wide.withColumn("speedup", F.col("p50_original") / F.nullif(F.col("p50_cached"), F.lit(0.0)))
 
 
-def ewma_per_statement(
-    log: DataFrame, key: str, value: str, order: list[str], w: int = 4
-) -> DataFrame:
-    """First value, then avg = (avg * w + x) / (w + 1) along ``order``; count kept.
+def ewma_partials(log: DataFrame, key: str, value: str, order: list[str], w: int = 4) -> DataFrame:
+    """(key, first, factor, total, executions): what some rows of a key do to its average.
 
-    The recurrence is linear, so the last average is a weighted sum: a row ``r`` places from the end
-    weighs decay^(r-1) / (w + 1), the first row decay^(n-1). Weights only shrink (to 0 on long series),
-    nothing is divided by them. A sum combines map-side, and the places come from sliced windows, so
-    one statement may own any share of the log.
+    avg = (avg * w + x) / (w + 1) is linear, so any run of rows turns the average before it into ``before * factor + total``, and
+    two runs one after the other into (f1 * f2, t1 * f2 + t2). A row ``r`` places from the end weighs decay^(r-1) / (w + 1).
+    Weights only shrink (to 0 on long series), nothing is divided by them. Sums combine map-side, and the places come from sliced
+    windows, so one statement may own any share of the log.
     """
     decay, gain = w / (w + 1), 1 / (w + 1)
     rows = log.filter(F.col(key).isNotNull() & (F.col(value) >= 0)).select(key, *order, F.col(value).cast("double").alias("_x"))
     ranked = running(rows, [key], order, {"_r": ("count", F.lit(1))}, descending=True)
-    weight = F.pow(F.lit(decay), F.col("_r") - 1)
-    n, first = F.max("_r"), F.max_by("_x", "_r")
+    n = F.max("_r")
     return ranked.groupBy(key).agg(
-        (F.sum(F.col("_x") * weight * gain) + first * F.pow(F.lit(decay), n)).alias("ewma"),
+        F.max_by("_x", "_r").alias("first"),
+        F.pow(F.lit(decay), n).alias("factor"),
+        F.sum(F.col("_x") * F.pow(F.lit(decay), F.col("_r") - 1) * gain).alias("total"),
         n.cast("long").alias("executions"),
     )
 
 
+def ewma_after(before: Column) -> Column:
+    """The average after the rows of :func:`ewma_partials`; without one before, the first value counts as it."""
+    return F.coalesce(before, F.col("first")) * F.col("factor") + F.col("total")
+
+
+def ewma_per_statement(log: DataFrame, key: str, value: str, order: list[str], w: int = 4) -> DataFrame:
+    """First value, then avg = (avg * w + x) / (w + 1) along ``order``; count kept."""
+    return ewma_partials(log, key, value, order, w).select(key, ewma_after(F.lit(None).cast("double")).alias("ewma"), "executions")
+
+
 def slow_classification(ewma: DataFrame) -> DataFrame:
     """Slow: twice the plain mean of all statement averages, once that mean is above 1 ms."""
     overall = ewma.agg(F.coalesce(F.avg("ewma"), F.lit(0.0)).alias("overall")).scalar()

@@ -53,6 +53,13 @@ def event_log_read(spark: SparkSession, path: str, schema: str, per_trigger: int
     return reader.option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def stream_union(*streams: DataFrame) -> DataFrame:
-    """Fan-in of several feeds; fields a feed lacks are NULL."""
+def stream_union(*streams: DataFrame, watermarks: list[tuple[str, str] | None] | None = None) -> DataFrame:
+    """Fan-in of several feeds; fields a feed lacks are NULL.
+
+    ``watermarks``: per feed the time column (of one name in all feeds) and how late its own records may be. Feeds may run apart:
+    the session's ``spark.sql.streaming.multipleWatermarkPolicy`` joins their watermarks, and its default, the smallest, waits for
+    the feed that lags. The checkpoint of the query keeps a position per feed.
+    """
+    if watermarks:
+        streams = [s.withWatermark(*w) if w else s for s, w in zip(streams, watermarks, strict=True)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)

@@ -59,34 +59,6 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-class EwmaProcessor(_Ordered):
-    def __init__(self, key: str, order: list[str], value: str, w: int) -> None:
-        super().__init__(key, order)
-        self.value, self.w = value, w
-
-    def fresh(self) -> dict:
-        return {"avg": None, "n": 0}
-
-    def apply(self, state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        for x in rows[self.value].tolist():
-            state["avg"] = x if state["avg"] is None else (state["avg"] * self.w + x) / (self.w + 1)
-            state["n"] += 1
-        return pd.DataFrame({self.key: [rows[self.key].iloc[0]], "ewma": [state["avg"]], "executions": [state["n"]]})
-
-
-def ewma_stream(stream: DataFrame, key: str, value: str, order: list[str], w: int = 4) -> DataFrame:
-    """Average after each micro-batch for the keys it touched (update mode)."""
-    rows = stream.filter(F.col(key).isNotNull() & (F.col(value) >= 0)).select(
-        key, *order, F.col(value).cast("double").alias(value)
-    )
-    schema = T.StructType(
-        [rows.schema[key], T.StructField("ewma", T.DoubleType()), T.StructField("executions", T.LongType())]
-    )
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=EwmaProcessor(key, order, value, w), outputStructType=schema, outputMode="Update", timeMode="None"
-    )
-
-
 class MonitorProcessor(_Ordered):
     def __init__(self, key: str, order: list[str], compat: bool) -> None:
         super().__init__(key, order)
