@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import stored
 from tideline.llm.tree_sums import subtree_sums
-from tideline.operators.ordered import numbered, running
+from tideline.operators.ordered import running, sliced
 
 #: conversations whose ids are this close share a beginning; it has fewer turns than the second number
 FAMILY, HEADS = 5, 9
@@ -26,7 +26,10 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     Null roles and texts are empty. Rows without conv_id take no part; repeated rows are turns of their own.
     """
     clean = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = numbered(clean, ["conv"], ["turn", "role", "text"], "pos")
+    # beginnings decide where slices are cut, so that no whole text is sampled; inside a slice rows are sorted in full
+    clean = clean.withColumns({"role_begin": F.substring("role", 1, 32), "text_begin": F.substring("text", 1, 32)})
+    slices = sliced(clean, ["conv"], ["turn", "role_begin", "text_begin"])
+    placed = running(clean, ["conv"], ["turn", "role", "text"], {"pos": ("count", F.lit(1))}, slices=slices)
     content = F.xxhash64("role", "text"), F.xxhash64(F.lit("two"), "text", "role")
     return placed.select("conv", F.col("pos").cast("long").alias("pos"), content[0].alias("one"), content[1].alias("two"), F.octet_length("text").cast("long").alias("bytes"))
 
