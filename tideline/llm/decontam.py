@@ -57,10 +57,10 @@ def _with_windows(rows: DataFrame, sizes: list[int], all_name: str) -> DataFrame
     return rows.withColumn(all_name, F.concat(F.array(F.lit(_MARK).cast("long")), *(F.col(f"w{s}") for s in sizes))).drop(*(f"w{m}" for m in made))
 
 
-def windows(items: DataFrame, item_id: str, text: str, n: int, null_ids: bool = False) -> DataFrame:
+def windows(items: DataFrame, item_id: str, text: str, n: int, null_ids: bool = True) -> DataFrame:
     """gram (words), size, items: the distinct windows of n words of the items; an item of fewer is one window.
 
-    Items without id have windows with null_ids only, and are named in no list.
+    Items without id have windows too, unless null_ids is false, and are named in no list.
     """
     rows = items if null_ids else items.where(F.col(item_id).isNotNull())
     rows = rows.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
@@ -70,13 +70,13 @@ def windows(items: DataFrame, item_id: str, text: str, n: int, null_ids: bool =
     return rows
 
 
-def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, null_ids: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, null_ids: bool = True) -> DataFrame:
     """doc_id, text_hash, copies, n_words, hits (start, size in words), items: one row per distinct (doc_id, text).
 
     Every window of a text is hashed, hashes are looked up in the broadcast set of item windows, and a found window is compared
     word by word. The text is read once and only hits and one mark per document are shuffled. The set is broadcast when its
-    counted size allows, else joined by a shuffle. Null and empty texts have no words; items without words have no windows, and items without id
-    have some with null_ids only.
+    counted size allows, else joined by a shuffle. Null and empty texts have no words; items without words have no windows; items without id give
+    hits like any other, unless null_ids is false.
     """
     grams = stored(windows(items, item_id, item_text, n, null_ids), "grams")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # at most n numbers
@@ -113,7 +113,11 @@ def n_hit(hits: Column) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text); repeated rows stay."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text); repeated rows stay.
+
+    Null and empty texts have no words and no hits; a null doc_id stays null. An item without id counts for n_hit and contaminated,
+    and is left out of n_items and items_sha256.
+    """
     found = find_hits(docs, items, n=n).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return found.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -121,11 +125,11 @@ def report(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", n: int = N, null_ids: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", n: int = N, null_ids: bool = True) -> DataFrame:
     """docs without contaminated documents, or with the hit words (and what parts them from the next word) cut out of `text`.
 
     remove is `documents` or `spans`. All columns stay as they are, rows without hits untouched; a null text has no hits. A text
-    that is all hits becomes what stands before its first word. Items without id count with null_ids only.
+    that is all hits becomes what stands before its first word. Items without id count unless null_ids is false.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
