@@ -1,4 +1,4 @@
-"""A page and its copies count once for the pipeline's line dedup."""
+"""A page and its copies count once for line dedup."""
 
 from __future__ import annotations
 
@@ -21,4 +21,23 @@ def test_copies_are_one_page_in_the_pipeline(spark):
     assert all(out[i]["text"] == data[i][2].split("\n")[0] for i in range(20, 50))
     kept = corpus_pipeline.one_of_each_group(spark, corpus_pipeline.drop_boilerplate(spark, docs, ""), "").collect()
     assert sum(copy in r["text"] for r in kept) == 1
-    assert {r["n_dropped"] for r in line_dedup.dedup_lines(docs.where("doc_id < 20 AND doc_id % 2 = 0")).collect()} == {4}  # the SQL twin's count of pages
+    apart = line_dedup.dedup_lines(docs.where("doc_id < 20 AND doc_id % 2 = 0"), copies_once=False)
+    assert {r["n_dropped"] for r in apart.collect()} == {4}
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tideline.llm.queries import ORACLES, QUERIES
+
+    rng = random.Random(2)
+    copy = "\n".join(["foot", *(sentence(rng, 6) for _ in range(3))])
+    data = [(i, "s" if i % 3 else "t", copy + "\n \n" * (i % 2)) for i in range(30)] + [(i, "s", f"{sentence(rng, 9)}\n foot ") for i in range(30, 50)]
+    data += [(50, None, "foot"), (51, "s", None), (52, "s", ""), (53, "s", "\n\n"), (54, "t", "foot"), (None, "t", "foot"), (54, "t", "foot")]
+    spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out = QUERIES["op7_line_dedup"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES['op7_line_dedup']})").fetchall()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(want) == len(data)
+    assert any(r[3] for r in want) and all(copy.split("\n", 1)[1] in r[1] for r in want if r[0] in range(30))

@@ -15,11 +15,11 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = True) -> DataFrame:
     """host, lines (hashes): what at least `ratio` of a host's pages and at least `min_pages` of them hold, blank lines apart.
 
-    A page counts once for a line. With copies_once, a host's pages of the same lines, blank ones and outer blanks apart, are one
-    page in both counts. Counts are combined before the shuffle. A host has at most (lines a page) / ratio such lines,
+    A page counts once for a line. A host's pages of the same lines, blank ones and outer blanks apart, are one page in both
+    counts, unless copies_once is false. Counts are combined before the shuffle. A host has at most (lines a page) / ratio such lines,
     whatever its size, so its list is bounded.
     """
     pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("ls"))
@@ -35,12 +35,12 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
     return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = True) -> DataFrame:
     """docs with `text` freed of its host's boilerplate lines, and n_lines, n_dropped. Every row stays, others columns too.
 
     Lines end at newline and are compared without outer blanks; kept lines stay as they are and are joined by newline. A null text
     stays null (0 lines), a page without host is left alone, an empty text is one blank line. A page of which all lines go has
-    an empty text. Repeated rows are pages of their own unless copies_once. Columns named n_lines or n_dropped are replaced.
+    an empty text. Copies of a page are counted as one page, unless copies_once is false, and all lose the same lines. Columns named n_lines or n_dropped are replaced.
     """
     bad = stored(boilerplate(docs, text, host, ratio, min_pages, copies_once), "boilerplate")
     size = bad.agg(F.coalesce(F.sum(F.size("lines") * 8 + 64), F.lit(0))).first()[0]

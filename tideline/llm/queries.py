@@ -74,9 +74,11 @@ WITH l AS (
   SELECT k, doc_id, source, has, pos, line, trim(line, ' ') AS t FROM (
     SELECT row_number() OVER () AS k, doc_id, source, text IS NOT NULL AS has, string_split(coalesce(text, ''), chr(10)) AS ls,
       unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-), pages AS (SELECT source, count(DISTINCT k) AS n FROM l WHERE source IS NOT NULL GROUP BY source
+), body AS (SELECT k, any_value(source) AS source, coalesce(list(t ORDER BY pos) FILTER (t <> ''), []) AS held FROM l WHERE source IS NOT NULL GROUP BY k
+), own AS (SELECT source, min(k) AS k FROM body GROUP BY source, held
+), pages AS (SELECT source, count(*) AS n FROM own GROUP BY source
 ), often AS (
-  SELECT source, t FROM (SELECT source, t, count(DISTINCT k) AS c FROM l WHERE source IS NOT NULL AND t <> '' GROUP BY source, t) JOIN pages USING (source)
+  SELECT source, t FROM (SELECT l.source, t, count(DISTINCT k) AS c FROM l JOIN own USING (k) WHERE t <> '' GROUP BY l.source, t) JOIN pages USING (source)
   WHERE c >= 5 AND c >= n * 0.1
 ), j AS (SELECT l.*, o.t IS NOT NULL AS bad FROM l LEFT JOIN often o ON l.source = o.source AND l.t = o.t)
 SELECT any_value(doc_id) AS doc_id, CASE WHEN any_value(has) THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') END AS text,
