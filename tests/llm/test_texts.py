@@ -227,7 +227,7 @@ def test_language(spark):
     train = spark.createDataFrame([(make(x, 40), x) for x in ("xx", "yy") for _ in range(30)] + [("?", "xx"), (None, "yy"), ("ab", None)], "text string, lang string")
     model = lang_id.fit(train)
     assert model.languages == ["xx", "yy"]
-    data = [(i, make("xx" if i % 2 else "yy", 1 + 10 * (i % 40)), i % 2) for i in range(80)] + [(900, None, 9), (901, "", 9), (902, "12 !?", 9), (903, make("xx", 60_000), 1)]
+    data = [(i, make("xx" if i % 2 else "yy", 1 + 10 * (i % 40)), i % 2) for i in range(80)] + [(900, None, 9), (901, "", 9), (902, "12 !?", 9), (904, "² ½", 9), (905, "Ⅷ①②_", 9), (903, make("xx", 60_000), 1)]
     got = lang_id.identify(spark.createDataFrame(data, "doc_id long, text string, score int"), model).join(spark.createDataFrame(data, "doc_id long, t string, odd int").drop("t"), "doc_id").collect()
     assert len(got) == len(data) and all(0 <= r["score"] <= 1 for r in got)
     right = [r["lang_pred"] == ("xx" if r["odd"] else "yy") for r in got if r["odd"] < 9]

@@ -23,7 +23,6 @@ PIECE_BYTES = 2048
 MARGIN = 0.001
 #: below this margin the further dictionaries are asked too, at a higher level
 UNSURE, LEVEL, UNSURE_LEVEL = 0.06, 5, 9
-_NO_LETTERS = re.compile(r"[\W\d_]*")
 
 
 @dataclass
@@ -59,7 +58,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin of a whole text."""
         names = self.languages
-        if not names or text is None or _NO_LETTERS.fullmatch(text):
+        if not names or text is None or not any(map(str.isalpha, text)):
             return "und", 0.0
         if len(names) == 1:
             return names[0], 1.0
@@ -102,7 +101,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
     """docs with lang_pred, score (0 to 1) and rejected; columns of these names are replaced.
 
     score is the share by which the best language undercuts the second; with one language it is 1. A text is rejected when score
-    is below `margin`. A null text, or one without letters, is `und` with score 0 and rejected. Equal sizes go to the language
+    is below `margin`. A null text, or one without letters (Unicode's; no numbers like ½ or Ⅷ), is `und` with score 0 and rejected. Equal sizes go to the language
     first in order, with score 0. Whole texts are compressed, however long; every row stays.
     """
     send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit
