@@ -32,14 +32,14 @@ def leaks(docs, items, n):
     for i, t in items:
         w = words(t)
         k = min(n, len(w))
-        for a in range(len(w) - k + 1) if w and i is not None else []:
-            grams.setdefault(tuple(w[a : a + k]), set()).add(str(i))
+        for a in range(len(w) - k + 1) if w else []:
+            grams.setdefault(tuple(w[a : a + k]), set()).update([] if i is None else [str(i)])  # no id: a hit, but no name
     out = []
     for d, t in docs:
         w, hit, seen = words(t), set(), set()
         for k in {len(g) for g in grams}:
             for a in range(len(w) - k + 1):
-                if found := grams.get(tuple(w[a : a + k])):
+                if (found := grams.get(tuple(w[a : a + k]))) is not None:
                     hit |= set(range(a, a + k))
                     seen |= found
         out.append((d, len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit)))
