@@ -87,9 +87,11 @@ def exploded_tables(log: DataFrame, *keep: str, distinct_per_row: bool = True) -
 def facet_lists(log: DataFrame) -> DataFrame:
     """Distinct non-blank connections, types and tables as (facet, value), plus the row total.
 
-    Long form: the lists grow with the data, so they are rows and not one array. One pass over the
-    log feeds all three.
+    Long form: the lists grow with the data, so they are rows and not one array. Statements are counted
+    per connection, type and table list first, in one pass over the log; lists are taken apart and the
+    total is summed over these few rows.
     """
+    shapes = log.groupBy("conn_hash", "query_type", "table_names").agg(F.count(F.lit(1)).alias("n"))
     facets = F.concat(
         F.when(_text("conn_hash"), F.array(F.struct(F.lit("connection").alias("facet"), F.col("conn_hash").alias("value"))))
         .otherwise(F.array().cast("array<struct<facet:string,value:string>>")),
@@ -97,8 +99,8 @@ def facet_lists(log: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<struct<facet:string,value:string>>")),
         F.transform(csv_items("table_names"), lambda t: F.struct(F.lit("table").alias("facet"), t.alias("value"))),
     )
-    rows = explode_each(log, facets, "f").select("f.*").distinct()
-    total = log.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("total").alias("facet"), "value")
+    rows = explode_each(shapes, facets, "f").select("f.*").distinct()
+    total = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("value")).select(F.lit("total").alias("facet"), "value")
     return rows.unionByName(total)
 
 
