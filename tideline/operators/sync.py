@@ -195,23 +195,35 @@ def rule_state_seed(
     return merged
 
 
+def _ready_per_text(statements: DataFrame, state: DataFrame, now: int, strict: bool, prefix: str) -> DataFrame:
+    """(conn_hash, sql, table, job_name, available) of the different statements; one without tables keeps a row."""
+    texts = statements.select("conn_hash", "sql").distinct()
+    rows = texts.select("conn_hash", "sql", F.explode_outer(referenced_tables_ci(referenced_tables("sql"))).alias("table"))
+    rows = rows.withColumn("job_name", job_name("conn_hash", database_name("conn_hash"), "table", prefix))
+    usable = is_available(now)
+    if strict:
+        usable = usable & F.coalesce(F.col("cdc_state") == "INCREMENTAL_IDLE", F.lit(False))
+    known = state.select("job_name", usable.alias("available"))
+    return rows.join(known, "job_name", "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def _of_texts(statements: DataFrame, per_text: DataFrame) -> DataFrame:
+    """What is known per text, for every statement."""
+    s = statements.select("id", F.col("conn_hash").alias("_conn"), F.col("sql").alias("_sql"))
+    same = s["_conn"].eqNullSafe(per_text["conn_hash"]) & s["_sql"].eqNullSafe(per_text["sql"])
+    return s.join(per_text, same).drop("_conn", "_sql")
+
+
 def table_ready_join(
     statements: DataFrame, state: DataFrame, now: int, strict: bool = False, prefix: str = MANAGED_PREFIX
 ) -> DataFrame:
     """One row per (statement, table) with its availability; a statement without tables keeps one row.
 
-    ``strict`` asks for an idle table (column ``cdc_state`` of the state) instead of a ready one.
+    ``strict`` asks for an idle table (column ``cdc_state`` of the state) instead of a ready one. A text is
+    taken apart once per connection, however often it was run.
     """
-    tables = referenced_tables_ci(referenced_tables("sql"))
-    rows = statements.select("id", "conn_hash", F.explode_outer(tables).alias("table"))
-    rows = rows.withColumn("job_name", job_name("conn_hash", database_name("conn_hash"), "table", prefix))
-    usable = is_available(now)
-    if strict:
-        usable = usable & F.coalesce(F.col("cdc_state") == "INCREMENTAL_IDLE", F.lit(False))
-    known = state.select("job_name", usable.alias("available"))
-    return rows.join(known, "job_name", "left").select(
-        "id", "conn_hash", "table", "job_name", F.coalesce("available", F.lit(False)).alias("available")
-    )
+    found = _of_texts(statements, _ready_per_text(statements, state, now, strict, prefix))
+    return found.select("id", "conn_hash", "table", "job_name", "available")
 
 
 def route_decision(
@@ -222,10 +234,14 @@ def route_decision(
     skips: DataFrame | None = None,
     prefix: str = MANAGED_PREFIX,
 ) -> DataFrame:
-    """replica when all tables of a statement are available, source otherwise, skip for ids in ``skips``."""
-    per_table = table_ready_join(statements, state, now, strict, prefix)
+    """replica when all tables of a statement are available, source otherwise, skip for ids in ``skips``.
+
+    Decided per connection and text, a row per statement.
+    """
+    per_table = _ready_per_text(statements, state, now, strict, prefix)
     route = F.when(F.bool_and(F.col("available") & F.col("table").isNotNull()), "replica").otherwise("source")
-    decided = per_table.groupBy("id").agg(route.alias("route"), F.count("table").alias("n_tables"))
+    per_text = per_table.groupBy("conn_hash", "sql").agg(route.alias("route"), F.count("table").alias("n_tables"))
+    decided = _of_texts(statements, per_text).select("id", "route", "n_tables")
     if skips is None:
         return decided
     marked = decided.join(skips.select("id", F.lit(True).alias("_skip")).distinct(), "id", "left")
