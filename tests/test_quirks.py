@@ -516,3 +516,22 @@ def test_listings_of_any_width_and_depth(spark):
     small = jj.jobs_by_name(df.filter("pos = 6"), "json", "pos")
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert abs(plan(out) - plan(small)) <= 2  # as large for any data
+
+
+def test_rule_pairs_are_written_out(spark):
+    """Every pair, and once: ids of statements and rules may repeat."""
+    from tests.conftest import SMALL
+    from tideline.catalogue import all_queries
+
+    assert all_queries()["rule_match"](spark, SMALL).columns == ["rule_id", "statement_id"]
+    rules = spark.createDataFrame(
+        [("r1", 0, True, "c", [" a ", "b"], [], {" a ": "j1", "b": "j2"}), ("r1", 0, True, "c", [" a ", "b"], [], {" a ": "j1", "b": "j2"}),
+         ("r1", 1, True, "c", [], ["s1", "s1", "s3"], {}), ("r2", 2, False, "c", ["a"], [], {"a": "j3"}), ("r3", 3, True, "d", ["a"], [], {})],
+        "id string, pos int, enabled boolean, conn_hash string, tables array<string>, slow_query_ids array<string>, job_ids map<string,string>",
+    )
+    statements = spark.createDataFrame(
+        [("s1", "c", "a,b"), ("s1", "c", "a,b"), ("s1", "c", "a"), ("s2", "c", "b, x"), ("s3", "c", None), ("s4", "d", "A"), (None, "c", "a"), ("s5", None, "a"), ("s6", "d", "a")],
+        "id string, conn_hash string, table_names string",
+    )
+    pairs = [tuple(r) for r in ru.rule_match(rules, statements).collect()]
+    assert sorted(pairs, key=str) == sorted([("r1", "s1"), ("r1", "s2"), ("r1", None), ("r1", "s3"), ("r3", "s6")], key=str)
