@@ -519,11 +519,12 @@ def test_listings_of_any_width_and_depth(spark):
 
 
 def test_rule_pairs_are_written_out(spark):
-    """Every pair, and once: ids of statements and rules may repeat."""
+    """Every pair of the two queries, and once: ids of statements and rules may repeat."""
     from tests.conftest import SMALL
     from tideline.catalogue import all_queries
 
     assert all_queries()["rule_match"](spark, SMALL).columns == ["rule_id", "statement_id"]
+    assert all_queries()["matching_jobs"](spark, SMALL).columns == ["rule_id", "statement_id", "table", "job_id"]
     rules = spark.createDataFrame(
         [("r1", 0, True, "c", [" a ", "b"], [], {" a ": "j1", "b": "j2"}), ("r1", 0, True, "c", [" a ", "b"], [], {" a ": "j1", "b": "j2"}),
          ("r1", 1, True, "c", [], ["s1", "s1", "s3"], {}), ("r2", 2, False, "c", ["a"], [], {"a": "j3"}), ("r3", 3, True, "d", ["a"], [], {})],
@@ -535,3 +536,8 @@ def test_rule_pairs_are_written_out(spark):
     )
     pairs = [tuple(r) for r in ru.rule_match(rules, statements).collect()]
     assert sorted(pairs, key=str) == sorted([("r1", "s1"), ("r1", "s2"), ("r1", None), ("r1", "s3"), ("r3", "s6")], key=str)
+    jobs = [tuple(r) for r in ru.matching_jobs(rules, statements).collect()]
+    want = [("r1", "s1", "a", "j1"), ("r1", "s1", "b", "j2"), ("r1", "s2", "b", "j2"), ("r1", None, "a", "j1"), ("r2", "s1", "a", "j3"), ("r2", None, "a", "j3")]
+    assert sorted(jobs, key=str) == sorted(want, key=str)
+    anywhere = {tuple(r) for r in ru.matching_jobs(rules, statements, same_connection=False).collect()}
+    assert anywhere == {*want, *[(r, s, "a", j) for r, j in (("r1", "j1"), ("r2", "j3")) for s in ("s5", "s6")]}
