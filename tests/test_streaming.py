@@ -285,3 +285,73 @@ def test_counter_steps_wait_for_late_samples(spark):
     samples = spark.createDataFrame(rows_, schema).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
     want = series.counter_steps(samples).select("name", "_labels", "ts", "value", "step")
     assert rows(spark.read.parquet(f"{root}/out")) == rows(want)
+
+
+class _Store:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self) -> None:
+        self.held, self.calls = {}, 0
+
+    def _called(self, out=None):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._called(() in self.held)
+
+    def get(self):
+        return self._called(self.held[()])
+
+    def update(self, value):
+        self._called(self.held.update({(): value}))
+
+    def clear(self):
+        self._called(self.held.clear())
+
+    def keys(self):
+        return self._called(iter(list(self.held)))
+
+    def iterator(self):
+        return self._called(iter(list(self.held.items())))
+
+    def getValue(self, key):
+        return self._called(self.held[key])
+
+    def updateValue(self, key, value):
+        self._called(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.held.pop(key))
+
+
+def test_counter_steps_call_the_store_by_slices_not_samples(spark, monkeypatch):
+    """One series in three micro-batches with late, repeated and waiting samples: few calls, steps as over the sorted samples."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    made = []
+    monkeypatch.setattr(stf, "CounterProcessor", lambda *a, real=stf.CounterProcessor: made.append(real(*a)) or made[-1])
+    schema = "ts timestamp, name string, labels map<string,string>, value double"
+    spark.createDataFrame([], schema).write.parquet(empty := f"{shared_dir(spark, 't-empty')}/in")
+    stf.counter_steps_stream(spark.readStream.schema(schema).parquet(empty), "1 hour")
+    p, stores, timers = made[0], [], set()
+    new = lambda *a: stores.append(_Store()) or stores[-1]
+    p.init(SimpleNamespace(getMapState=new, getValueState=new, registerTimer=timers.add, deleteTimer=timers.discard))
+    rng, second = random.Random(2), 1_000_000
+    samples = [(1_700_000_000 * second + i * second + rng.randrange(second), float(rng.randrange(50))) for i in range(20_000)]
+    came = sorted(samples, key=lambda s: s[0] + rng.choice([0, 0, 1500 * second]))
+    out = []
+    for i in range(3):
+        rows = pd.DataFrame(came[i * 7000 : (i + 1) * 7000], columns=["micros", "value"])
+        list(p.handleInputRows(("s",), iter([rows[:4000], pd.concat([rows[4000:], rows[:5]]), rows[:0]]), None))
+        mark = min([s[0] for s in came[(i + 1) * 7000 :]], default=10**18) // 1000 - 1
+        while timers and min(timers) <= mark:
+            timers.discard(min(timers))
+            out += [part for part in p.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m), None)]
+    got = pd.concat(out)
+    steps = [0.0] + [b - a if b >= a else b for (_, a), (_, b) in zip(samples, samples[1:])]
+    assert list(zip(got["micros"], got["value"], got["step"])) == [(*s, d) for s, d in zip(samples, steps)]
+    assert sum(s.calls for s in stores) < 5000

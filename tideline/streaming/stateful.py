@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from tideline.operators.series import label_key
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType([T.StructField("s", T.StringType())])
+#: a sample that waits; samples of a piece; slices of the allowed lateness
+_SAMPLE = np.dtype([("at", "<i8"), ("value", "<f8")])
+_PIECE, _SLICES = 65_536, 32
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -94,29 +99,54 @@ def sync_monitor_stream(records: DataFrame, key: str, order: list[str] = ("ts",
 class CounterProcessor(StatefulProcessor):
     """Holds the samples of a series until the watermark has passed them, then counts their steps in order of time.
 
-    State: the samples that wait, by time; the value of the last one counted; the time the next timer is set for. A series waits
-    for as many samples as it has within the allowed lateness.
+    State: the samples that wait, in pieces of a slice of time (``width`` microseconds) as they came; the number of the next piece;
+    the value of the last one counted; the time the next timer is set for. Calls of the store grow with slices and micro-batches,
+    not with samples, and a task holds a slice of one series at a time.
     """
 
+    def __init__(self, width: int) -> None:
+        self.width = width
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        one = lambda name, kind: T.StructType([T.StructField(name, kind)])
-        self.waiting = handle.getMapState("waiting", one("at", T.LongType()), one("value", T.DoubleType()))
-        self.last = handle.getValueState("last", one("value", T.DoubleType()))
-        self.timer = handle.getValueState("timer", one("ms", T.LongType()))
+        one = lambda **kinds: T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+        self.waiting = handle.getMapState("waiting", one(slice=T.LongType(), piece=T.LongType()), one(samples=T.BinaryType()))
+        self.pieces = handle.getValueState("pieces", one(n=T.LongType()))
+        self.last = handle.getValueState("last", one(value=T.DoubleType()))
+        self.timer = handle.getValueState("timer", one(ms=T.LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        held, n, first = [], 0, None
         for part in rows:
             if part.empty:  # a key whose timer is due comes without rows, and without columns
                 continue
-            for at, value in zip(part["micros"].tolist(), part["value"].tolist()):
-                self.waiting.updateValue((at,), (value,))
-                first = at if first is None else min(first, at)
+            part = part[part["micros"].notna()]
+            samples = np.empty(len(part), _SAMPLE)
+            samples["at"], samples["value"] = part["micros"], part["value"]
+            if not len(samples):
+                continue
+            held.append(samples)
+            n, low = n + len(samples), int(samples["at"].min())
+            first = low if first is None else min(first, low)
+            if n >= _PIECE:
+                self._hold(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            self._hold(np.concatenate(held))
         if first is not None:
             self._wake(first)
         yield from ()
 
+    def _hold(self, samples: np.ndarray) -> None:
+        """A piece for every slice of time the samples are in, in the order they came."""
+        samples = samples[np.argsort(samples["at"] // self.width, kind="stable")]
+        n = self.pieces.get()[0] if self.pieces.exists() else 0
+        of = samples["at"] // self.width
+        for piece in np.split(samples, np.flatnonzero(np.diff(of)) + 1):
+            self.waiting.updateValue((int(piece["at"][0] // self.width), n), (piece.tobytes(),))
+            n += 1
+        self.pieces.update((n,))
+
     def _wake(self, at: int) -> None:
         """A timer for the time of a sample, unless an earlier one is set."""
         ms = -(-at // 1000)
@@ -130,18 +160,31 @@ class CounterProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        samples = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-        last, out = self.last.get()[0] if self.last.exists() else None, []
-        for at, value in samples:
-            if at > passed:
-                self._wake(at)
+        for of, places in groupby(sorted((k[0], k[1]) for k in self.waiting.keys()), key=lambda k: k[0]):
+            if of * self.width > passed:
+                self._wake(of * self.width)
+                break
+            places = list(places)
+            samples = np.concatenate([np.frombuffer(self.waiting.getValue(k)[0], _SAMPLE) for k in places])
+            samples = samples[np.argsort(samples["at"], kind="stable")]
+            samples = samples[np.append(samples["at"][1:] != samples["at"][:-1], True)]  # the last to come of one time
+            due = int(np.searchsorted(samples["at"], passed, side="right"))
+            waits, samples = samples[due:], samples[:due]
+            if len(samples):
+                value = samples["value"]
+                before = np.concatenate([[self.last.get()[0] if self.last.exists() else np.inf], value[:-1]])
+                step = np.where(value >= before, value - before, value)
+                if not self.last.exists():
+                    step[0] = 0.0
+                self.last.update((float(value[-1]),))
+                for k in places:
+                    self.waiting.removeKey(k)
+                if len(waits):
+                    self._hold(waits)
+                yield pd.DataFrame({"series": key[0], "micros": samples["at"], "value": value, "step": step})
+            if len(waits):
+                self._wake(int(waits["at"][0]))
                 break
-            out.append((key[0], at, value, 0.0 if last is None else value - last if value >= last else value))
-            last = value
-            self.waiting.removeKey((at,))
-        if out:
-            self.last.update((last,))
-            yield pd.DataFrame(out, columns=["series", "micros", "value", "step"])
 
     def close(self) -> None:
         pass
@@ -154,12 +197,13 @@ def counter_steps_stream(samples: DataFrame, late: str = "10 minutes") -> DataFr
     right; samples later than ``late`` (and of 1970 or before) are dropped. One of two samples of a series and time counts. Steps leave in the order of
     time per series, a batch behind the watermark.
     """
+    micros = samples.sparkSession.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL '{late}'"))).first()[0]
     rows = samples.withWatermark("ts", late).select(
         F.to_json(F.struct("name", label_key("labels").alias("labels"))).alias("series"), "ts", F.unix_micros("ts").alias("micros"),
         F.col("value").cast("double").alias("value"),
     )
     steps = rows.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=CounterProcessor(), outputStructType="series string, micros long, value double, step double",
+        statefulProcessor=CounterProcessor(max(1, micros // _SLICES)), outputStructType="series string, micros long, value double, step double",
         outputMode="Append", timeMode="EventTime",
     )
     named = F.from_json("series", "name string, labels array<struct<key: string, value: string>>")
