@@ -287,3 +287,19 @@ def test_prints_do_not_depend_on_the_block():
     one, two = (Prints(np.frombuffer(x, np.uint8)) for x in (b"some text to find", b"xx text to f and more of it, longer than before"))
     at = lambda p, a, b: p.of(np.array([a]), np.array([b]))[0]
     assert at(one, 4, 14) == at(two, 2, 12) != at(two, 3, 13)
+
+
+def test_search_for_fewer_sequences_goes_beyond_the_first_solution():
+    """With the query's own parameters the search saves sequences that five children in two epochs do not find."""
+    first = found = 0
+    for seed in range(60):
+        sizes = np.random.default_rng(seed).integers(200, 500, 200).astype(np.int64)
+        rng = random.Random(7)
+        island = [packing.first_solution(sizes, 1024, noise, rng) for noise in [0.0, *[0.05 * rng.random() for _ in range(packing.POPULATION - 1)]]]
+        first += -packing.fitness(island[0], sizes, 1024)[0]
+        for _ in range(packing.EPOCHS):
+            island = packing.evolve(island, sizes, 1024, packing.CHILDREN, rng)
+        fill = np.bincount(island[0], weights=sizes)
+        assert fill.max() <= 1024 and fill.sum() == sizes.sum()
+        found += len(fill)
+    assert found <= first - 6

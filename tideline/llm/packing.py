@@ -21,7 +21,7 @@ from tideline.llm.common import slices, stored
 
 CAPACITY, END_ID = 1024, 2
 #: pieces of one block, islands of a block, solutions of an island, children between migrations, migrations
-BLOCK_PIECES, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 3, 5, 2
+BLOCK_PIECES, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 6, 48, 3
 _MEMO, _MEMO_CHARS = 600_000, 40
 #: white space as the pattern knows it; its look-ahead overflows the library's stack on runs of a million
 _RUN_CHARS = 100_000
@@ -142,43 +142,34 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
 
 class Bins:
-    """Bins of item numbers, with the fullest bin that still fits an item found at once."""
+    """Numbered bins by the room they have left; the fullest that still fits an item is found at once."""
 
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.items, self.room = capacity, [], []
+    def __init__(self, capacity: int, room: np.ndarray | None = None) -> None:
+        self.capacity, self.n = capacity, 0 if room is None else len(room)
         self.by_room: dict[int, list[int]] = {}
         self.open = 0  # bit r: some bin has room r
+        for b in np.flatnonzero(room).tolist() if self.n else []:
+            self._file(b, int(room[b]))
 
-    def _file(self, b: int) -> None:
-        r = self.room[b]
+    def _file(self, b: int, r: int) -> None:
         if r:
             self.by_room.setdefault(r, []).append(b)
             self.open |= 1 << r
 
-    def add_bin(self, items: list[int], filled: int) -> None:
-        self.items.append(items)
-        self.room.append(self.capacity - filled)
-        self._file(len(self.items) - 1)
-
-    def best_fit(self, item: int, size: int) -> None:
+    def best_fit(self, size: int) -> int:
+        """The number of the bin an item goes to."""
         fits = self.open >> size
         if not fits:
-            self.add_bin([item], size)
-            return
+            self.n += 1
+            self._file(self.n - 1, self.capacity - size)
+            return self.n - 1
         r = size + (fits & -fits).bit_length() - 1
         at = self.by_room[r]
         b = at.pop()
         if not at:
             self.open &= ~(1 << r)
-        self.items[b].append(item)
-        self.room[b] = r - size
-        self._file(b)
-
-    def labels(self, n: int) -> np.ndarray:
-        out = np.zeros(n, np.int32)
-        for b, items in enumerate(self.items):
-            out[items] = b
-        return out
+        self._file(b, r - size)
+        return b
 
 
 def fitness(labels: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -190,10 +181,9 @@ def fitness(labels: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int,
 def first_solution(sizes: np.ndarray, capacity: int, noise: float, rng: random.Random) -> np.ndarray:
     """Best fit by falling size; noise shakes the order."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * (rng.random() - 0.5)))
-    bins = Bins(capacity)
-    for i in order:
-        bins.best_fit(i, int(sizes[i]))
-    return bins.labels(len(sizes))
+    bins, labels = Bins(capacity), np.empty(len(sizes), np.int32)
+    labels[order] = [bins.best_fit(size) for size in sizes[order].tolist()]
+    return labels
 
 
 def crossover(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
@@ -204,21 +194,27 @@ def crossover(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, capacity: int
     fill = np.bincount(two, weights=sizes)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     good = good[np.array([rng.random() < 0.5 for _ in good], dtype=bool)] if len(good) > 1 else good
-    injected = np.isin(two, good)
+    taken = np.zeros(len(fill), bool)
+    taken[good] = True
+    injected = taken[two]
     broken = np.zeros(int(one.max()) + 1, bool)
     broken[one[injected]] = True
     own = np.bincount(one, weights=sizes, minlength=len(broken))
     broken |= own < np.quantile(own, 0.02)
-    free = np.flatnonzero(broken[one] & ~injected)
-    bins = Bins(capacity)
-    for labels, keep in ((two, injected), (one, ~broken[one])):
-        at = np.flatnonzero(keep)
-        at = at[np.argsort(labels[at], kind="stable")]
-        for part in np.split(at, np.flatnonzero(np.diff(labels[at])) + 1) if len(at) else []:
-            bins.add_bin(part.tolist(), int(sizes[part].sum()))
-    for i in sorted(free.tolist(), key=lambda i: -sizes[i]):
-        bins.best_fit(i, int(sizes[i]))
-    return bins.labels(len(sizes))
+    kept = ~broken[one]
+    # bins of `two`, then bins of `one`, are numbered anew without gaps
+    labels, n = np.empty(len(sizes), np.int32), 0
+    for old, at in ((two, injected), (one, kept)):
+        used = np.zeros(int(old.max()) + 1, bool)
+        used[old[at]] = True
+        labels[at] = (n + np.cumsum(used) - 1)[old[at]]
+        n += int(used.sum())
+    placed = injected | kept
+    bins = Bins(capacity, capacity - np.bincount(labels[placed], weights=sizes[placed], minlength=n).astype(np.int64))
+    free = np.flatnonzero(~placed)
+    free = free[np.argsort(-sizes[free], kind="stable")]
+    labels[free] = [bins.best_fit(size) for size in sizes[free].tolist()]
+    return labels
 
 
 def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, children: int, rng: random.Random) -> list[np.ndarray]:
