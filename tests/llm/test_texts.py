@@ -158,6 +158,46 @@ def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("span", [40, 90, 400])
+def test_every_string_has_one_anchor(span):
+    """Strings that are equal have the same anchor at the same distance, so that shards dealt by anchor need no merging."""
+    from tideline.llm.anchors import Prints, anchors
+
+    rng = random.Random(span)
+    passage = sentence(rng, 150)
+    texts = [sentence(rng, 60) + passage + sentence(rng, 60), passage + sentence(rng, 40), "spam " * 300, "short", "a" * 700, passage[50:] + "spam " * 200]
+    rows = [t.encode() for t in texts]
+    raw, starts = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    strings, anchor = Counter(), {}
+    for at, a, row, first, last in zip(*(x.tolist() for x in anchors(raw, starts, span, Prints(raw))), strict=True):
+        for s in range(first, last + 1):
+            assert starts[row] <= s <= at < s + span <= starts[row + 1]
+            strings[s] += 1
+            assert anchor.setdefault(raw[s : s + span].tobytes(), (a, at - s)) == (a, at - s)
+    assert strings == Counter(s for a, b in zip(starts, starts[1:]) for s in range(a, b - span + 1))
+
+
+def test_regions_of_a_common_anchor_are_halved(spark):
+    """Each string of a region is in one half, equal strings have the same new anchor, and regions that run apart part."""
+    rng = random.Random(5)
+    common = sentence(rng, 40).encode()[:100]  # 60 bytes before the anchor, 40 after its begin
+    data = [common[60 - k :] + sentence(rng, 40).encode()[:40] for k in (60, 60, 10)]
+    at = [60, 60, 10]
+    rows = [(7, k, 500, 10, 10 + len(x), at[k], 0, 60, bytearray(x)) for k, x in enumerate(data)]
+    regions = spark.createDataFrame(rows, "a long, t long, n long, lo long, hi long, at long, near long, far long, data binary")
+    got = suffix_dedup._halves(regions, 80).collect()
+    strings, anchor = Counter(), {}
+    for r in got:
+        x = bytes(r["data"])
+        assert len(x) == r["hi"] - r["lo"] and x == data[r["t"]][r["lo"] - 10 : r["hi"] - 10]
+        for k in range(len(x) - 79):
+            strings[r["t"], r["lo"] + k] += 1
+            assert r["near"] <= r["at"] - k <= r["far"]
+            assert anchor.setdefault(x[k : k + 80], (r["a"], r["at"] - k)) == (r["a"], r["at"] - k)
+    assert strings == Counter((k, 10 + s) for k, x in enumerate(data) for s in range(len(x) - 79) if 0 <= at[k] - s <= 60)
+    assert len({r["a"] for r in got}) == 4  # of the nearer strings, which run on into different bytes, each stands alone
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_suffix_array(seed):
     rng = random.Random(seed)
