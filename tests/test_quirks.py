@@ -541,3 +541,13 @@ def test_rule_pairs_are_written_out(spark):
     assert sorted(jobs, key=str) == sorted(want, key=str)
     anywhere = {tuple(r) for r in ru.matching_jobs(rules, statements, same_connection=False).collect()}
     assert anywhere == {*want, *[(r, s, "a", j) for r, j in (("r1", "j1"), ("r2", "j3")) for s in ("s5", "s6")]}
+
+
+def test_pairs_of_one_table_list_are_dealt_over_tasks(spark):
+    """Statements that all name the same tables: their pairs are no single task's work, and each is there once."""
+    rules = spark.createDataFrame([(f"r{i}", i, True, "c", ["a"], [], {"a": f"j{i}"}) for i in range(30)], RULES)
+    statements = spark.range(6000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("id"), F.lit("c").alias("conn_hash"), F.lit("a, b").alias("table_names"))
+    for out in (ru.rule_match(rules, statements), ru.matching_jobs(rules, statements)):
+        tasks = [r["n"] for r in out.withColumn("_task", F.spark_partition_id()).groupBy("_task").agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(tasks) == 180_000 and max(tasks) <= 90_000
+        assert out.select("rule_id", "statement_id").distinct().count() == 180_000
